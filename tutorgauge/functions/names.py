@@ -19,8 +19,8 @@ def _after_first(column: Column, mark: str) -> Column:
 
 
 def eval_name(column: Column) -> dict[str, Column]:
-    """``task:lang|shots`` into its parts; null where the text has another form."""
-    form = r"^([^:|]+):([^:|]+)\|(\d+)$"
+    """``[suite|]task:lang|shots`` into its parts; null where the text has another form."""
+    form = r"^(?:[^|]*\|)?([^:|]+):([^:|]+)\|(\d+)$"
     part = lambda i: F.when(column.rlike(form), F.regexp_extract(column, form, i))
     return {"task": part(1), "eval_lang": part(2), "n_shots": part(3).cast("int")}
 

@@ -33,7 +33,7 @@ def token_count(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Whitespace-separated tokens."""
-    return F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def token_counter(count: Callable[[str], int]) -> Callable[[Column], Column]:

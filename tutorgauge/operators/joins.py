@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tutorgauge.session import shared_folder
+from tutorgauge.session import new_folder
 
 BROADCAST_ROWS = 100_000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Compute a small intermediate once, into the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute an intermediate once, as a table in the shared folder: lineage ends there and its size is known."""
+    path = new_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Settle an aggregate and mark it for broadcast if its counted rows allow it.
+    """Compute an aggregate now and mark it for broadcast if its rows, counted up to the limit, allow it.
 
-    A larger one stays a plain side of the join: shuffled, with hot keys split by AQE.
+    A larger one is settled and stays a plain side of the join: shuffled, with hot keys split by AQE.
     """
-    df = settled(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return settled(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
 def left_join_unique(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str]) -> DataFrame:

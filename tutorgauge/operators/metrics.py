@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tutorgauge.functions.text import token_count, tokens
 from tutorgauge.operators.filters import count_nan, mean_without_nan, require_columns
-from tutorgauge.operators.joins import settled
+from tutorgauge.operators.joins import settled, sized
 
 HOT_SHARE = 1e-4
 
@@ -80,29 +80,25 @@ def perplexity_summary(df: DataFrame, by: list[str], perplexity: str = "perplexi
 def unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pieces: Callable[[Column], Column] = tokens) -> DataFrame:
     """Row perplexity under an add-one word model of the row's own group, for use without a language model.
 
-    Words holding at least 1/10,000 of all tokens number at most 10,000, so their counts are broadcast;
-    the others meet their counts in a shuffle in which no key can be hot.
+    Words holding at least 1/10,000 of all tokens number at most 10,000, so their losses are broadcast and
+    a row's tokens are summed where they are read. Only the other words are shuffled to meet their losses,
+    and none of those can be hot.
     """
-    words = df.select(id_col, *by, F.explode(pieces(F.col(text))).alias("word")).groupBy(id_col, *by, "word").agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    counts = words.groupBy(*by, "word").agg(F.sum("c").alias("word_count"))
+    keys = [*by, "word"]
+    words = df.select(id_col, *by, F.explode(pieces(F.col(text))).alias("word"))
+    counts = settled(words.groupBy(*keys).agg(F.count(F.lit(1)).alias("word_count")))  # the vocabulary, counted once
     sizes = counts.groupBy(*by).agg(F.sum("word_count").alias("_tokens"), F.count(F.lit(1)).alias("_types"))
     total = sizes.agg(F.sum("_tokens")).scalar()
-    scored = counts.join(sizes, by).withColumn(
-        "_nll", -F.log((F.col("word_count") + 1) / (F.col("_tokens") + F.col("_types")))
-    ).withColumn("_hot", F.col("word_count") >= HOT_SHARE * total)
-    scored = settled(scored)  # the vocabulary, counted once
-    hot = scored.filter("_hot").select(*by, "word", "_nll")
-    cold = scored.filter("not _hot").select(*by, "word", "_nll")
-    keys = [*by, "word"]
-    marked = words.join(F.broadcast(hot), keys, "left")
-    near = marked.filter(F.col("_nll").isNotNull())
-    far = marked.filter(F.col("_nll").isNull()).drop("_nll").join(cold, keys)
-    rows = near.unionByName(far).groupBy(id_col, *by).agg(
-        (F.sum(F.col("c") * F.col("_nll")) / F.sum("c")).alias("_loss"), F.sum("c").alias("tokens")
-    )
-    return rows.select(id_col, *by, "tokens", F.exp("_loss").alias("perplexity"))
+    loss = -F.log((F.col("word_count") + 1) / (F.col("_tokens") + F.col("_types")))
+    scored = counts.join(sized(sizes), by).withColumn("_nll", loss)
+    frequent = F.col("word_count") >= HOT_SHARE * total
+    hot = F.broadcast(scored.filter(frequent).select(*keys, "_nll"))
+    cold = scored.filter(~frequent).select(*keys, "_nll").hint("merge")
+    part = lambda rows: rows.groupBy(id_col, *by).agg(F.sum("_nll").alias("_loss"), F.count(F.lit(1)).alias("tokens"))
+    near = part(words.join(hot, keys))
+    far = part(words.join(hot, keys, "left_anti").join(cold, keys))
+    rows = near.unionByName(far).groupBy(id_col, *by).agg(F.sum("_loss").alias("_loss"), F.sum("tokens").alias("tokens"))
+    return rows.select(id_col, *by, "tokens", F.exp(F.col("_loss") / F.col("tokens")).alias("perplexity"))
 
 
 def judge_feedback(raw: str = "raw") -> dict[str, Column]:

@@ -28,6 +28,7 @@ FEATURES = [
     "prompts_average_length",
     "responses_average_length",
 ]
+ROWS_PER_PARTITION = 10_000
 REGRESSIONS = ["linear", "ridge", "lasso", "quadratic", "boosted"]
 
 
@@ -85,9 +86,13 @@ def _estimator(kind: str, n: int, label: str, sd: float):
 def fit_regressions(df: DataFrame, label: str, kinds: list[str] | None = None) -> dict:
     """In-sample fits of ``label`` on ``components``: model, r2 and rmse by name."""
     kinds = kinds or REGRESSIONS
-    rows = df.select("components", F.col(label).cast("double").alias(label)).persist()
+    spark = df.sparkSession
+    rows = df.select("components", F.col(label).cast("double").alias(label))
+    base = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("m"), F.stddev_pop(label).alias("sd")).first()
+    # The fits pass over these narrow rows many times, so they are spread evenly and kept.
+    widest = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(min(widest, base.n // ROWS_PER_PARTITION + 1)).persist()
     try:
-        base = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("m"), F.stddev_pop(label).alias("sd")).first()
         fits = {}
         for kind in kinds:
             model = _estimator(kind, base.n, label, base.sd).fit(rows)

@@ -125,14 +125,16 @@ def shuffled_index(df: DataFrame, id_col: str = "id", seed: int = 42, index: str
     )
 
 
-def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None, pieces: int = 64) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None, pieces: int | None = None) -> DataFrame:
     """Distinct (group, value) with ``_c`` rows of that value and ``_end`` rows up to it; null and NaN are left out.
 
     Copies of a value are counted before any sort, then distinct values are cut at approximate
     quantiles into ``pieces`` runs which are sorted apart; running totals of the pieces join them.
-    ``pieces=1`` suits score tables of a few thousand rows.
+    By default there are as many as shuffle partitions (8 to 512); ``pieces=1`` suits score tables of a
+    few thousand rows.
     """
     by = list(by or [])
+    pieces = pieces or min(512, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keys = by or ["_all"]
     seen = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     values = (seen if by else seen.withColumn("_all", F.lit(0))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -154,13 +156,13 @@ def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None, pi
     return joined.select(*by, value, "_c", (F.col("_start") + F.sum("_c").over(within)).alias("_end"))
 
 
-def average_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None, pieces: int = 64) -> DataFrame:
+def average_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None, pieces: int | None = None) -> DataFrame:
     """Distinct (group, value) with its 1-based rank, ties averaged; null and NaN values get none."""
     counted = cumulative_counts(df, value, by, pieces)
     return counted.select(*(by or []), value, (F.col("_end") - (F.col("_c") - 1) / 2).alias(out or f"{value}_rank"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None, pieces: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None, pieces: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group with ``n`` and the array ``q``.
 
     Read off the cumulative counts, so no task holds all values of a group.
@@ -180,12 +182,6 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: l
     return ends.select(*by, "n", F.array(*[part(i, s) for i, s in enumerate(spots)]).alias("q"))
 
 
-def with_average_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None, pieces: int = 64) -> DataFrame:
-    """Rows with the average rank of ``value`` within its group."""
-    by = list(by or [])
-    return df.join(average_rank(df, value, by, out, pieces), [*by, value], "left")
-
-
 def top_per_group(df: DataFrame, by: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """First n rows of each group. Spark cuts each partition to n rows before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)

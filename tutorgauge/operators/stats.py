@@ -20,11 +20,16 @@ def _complete(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, pieces: int = 64) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, pieces: int | None = None) -> DataFrame:
     """Rank correlation with averaged ties over rows where both are present: rho, n, t and p per group."""
     by = list(by or [])
     rows = _complete(df.select(*by, x, y), x, y)
-    ranked = rows.join(average_rank(rows, x, by, "_rx", pieces), [*by, x]).join(average_rank(rows, y, by, "_ry", pieces), [*by, y])
+    # Both columns are ranked as groups of one table.
+    side = lambda name, c: F.struct(F.lit(name).alias("_side"), F.col(c).cast("double").alias("_value"))
+    ranks = average_rank(rows.select(*by, F.inline(F.array(side("x", x), side("y", y)))), "_value", [*by, "_side"], "_rank", pieces)
+    pick = lambda name, c: ranks.filter(F.col("_side") == name).select(*by, F.col("_value").alias(c), F.col("_rank").alias(f"_r{name}"))
+    rows = rows.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    ranked = rows.join(pick("x", "_x"), [*by, "_x"]).join(pick("y", "_y"), [*by, "_y"])
     out = ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     return out.withColumns({"t": correlation_t(F.col("rho"), F.col("n")), "p": correlation_p(F.col("rho"), F.col("n"))})
 
@@ -36,7 +41,7 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataF
     return out.withColumns({"t": correlation_t(F.col("r"), F.col("n")), "p": correlation_p(F.col("r"), F.col("n"))})
 
 
-def pair_correlations(df: DataFrame, key: list[str], label: str, labels: list, value: str, pieces: int = 64) -> DataFrame:
+def pair_correlations(df: DataFrame, key: list[str], label: str, labels: list, value: str, pieces: int | None = None) -> DataFrame:
     """Spearman for every pair of labels over the keys both have, as a full matrix.
 
     Labels are a given short list (one per input of the job), so a key's row widens to one
@@ -58,13 +63,13 @@ def pair_correlations(df: DataFrame, key: list[str], label: str, labels: list, v
     return half.unionByName(mirror).unionByName(diagonal)
 
 
-def against_reference(df: DataFrame, key: str, label: str, value: str, reference: str, pieces: int = 64) -> DataFrame:
+def against_reference(df: DataFrame, key: str, label: str, value: str, reference: str, pieces: int | None = None) -> DataFrame:
     """Spearman of every other label against one reference label over common keys."""
     joined = self_pairs(df, key, label, value, reference)
     return spearman(joined, value, f"{value}_anchor", [label], pieces).withColumnRenamed("n", "n_teachers")
 
 
-def weight_robustness(df: DataFrame, key: list[str], alphas: list[float], intrinsic: str = "z_score", extrinsic: str = "pgr", pieces: int = 64) -> DataFrame:
+def weight_robustness(df: DataFrame, key: list[str], alphas: list[float], intrinsic: str = "z_score", extrinsic: str = "pgr", pieces: int | None = None) -> DataFrame:
     """Spearman between the scores under every two weights.
 
     All weights are ranked in one grouped pass; the ranks of a row then stand side by side, and one
@@ -124,7 +129,7 @@ def binned(value: Column, edges: list[float], labels: list[str]) -> Column:
     return inside
 
 
-def quantile_classes(df: DataFrame, column: str, q: int = 3, out: str = "size_class", pieces: int = 64) -> DataFrame:
+def quantile_classes(df: DataFrame, column: str, q: int = 3, out: str = "size_class", pieces: int | None = None) -> DataFrame:
     """Class 0..q-1 by exact quantile over rows, bins closed on the right; equal edges merge."""
     edges = exact_quantiles(df, column, [i / q for i in range(q + 1)], pieces=pieces).select(F.array_distinct("q")).scalar()
     work = df.withColumn("_edges", edges)
@@ -132,7 +137,7 @@ def quantile_classes(df: DataFrame, column: str, q: int = 3, out: str = "size_cl
     return work.withColumn(out, F.when(F.col(column).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_edges")
 
 
-def box_stats(df: DataFrame, by: str, value: str, pieces: int = 64) -> DataFrame:
+def box_stats(df: DataFrame, by: str, value: str, pieces: int | None = None) -> DataFrame:
     """Exact quartiles, whiskers at 1.5 box lengths and the number of outliers per bin; empty bins are absent."""
     rows = df.filter(F.col(by).isNotNull())
     q = exact_quantiles(rows, value, [0.25, 0.5, 0.75], [by], pieces)

@@ -9,6 +9,7 @@ from tutorgauge import fixed_values as fv
 from tutorgauge.functions.names import eval_name, run_name
 from tutorgauge.functions.text import chat_messages, chat_text, p_text
 from tutorgauge.operators import filters, metrics, models, reports, sampling, scores, stats, synthesis
+from tutorgauge.operators.joins import settled
 from tutorgauge.sources import dims, documents, seeds, tables
 
 
@@ -144,7 +145,7 @@ def base_model_effect(df: DataFrame, languages: list[str], bases: list[str], ref
     }
 
 
-def language_resource_effect(df: DataFrame, prop: str = "pct_commoncrawl", pieces: int = 64) -> dict[str, DataFrame]:
+def language_resource_effect(df: DataFrame, prop: str = "pct_commoncrawl", pieces: int | None = None) -> dict[str, DataFrame]:
     """Scores against how well resourced a language is: bins, box statistics, correlation over languages."""
     rows = filters.without_missing(dims.with_dimensions(df), [prop])
     if prop in fv.RESOURCE_BINS:
@@ -180,7 +181,7 @@ def data_scale(df: DataFrame, value: str = "pg_score") -> DataFrame:
 def feature_model(intrinsic: DataFrame, benchmark: DataFrame, label: str = "result", k: int | None = None) -> models.Components:
     """Components of the six features over rows that have a benchmark score too."""
     rows = intrinsic.join(benchmark.select("teacher_model", "target_lang", label), ["teacher_model", "target_lang"])
-    return models.Components(rows, k=k)
+    return models.Components(settled(rows), k=k)
 
 
 def scale_or_benchmark(pg: DataFrame, teacher_perf: DataFrame) -> DataFrame:
@@ -189,6 +190,7 @@ def scale_or_benchmark(pg: DataFrame, teacher_perf: DataFrame) -> DataFrame:
     perf = perf.select("teacher_model", "avg_all", *[f"avg_{l}" for l in fv.BENCHMARKED_LANGUAGES])
     rows = dims.with_model_size(dims.with_dimensions(pg)).join(perf, "teacher_model", "left")
     rows = filters.without_missing(rows.withColumn("benchmark_performance", F.col("avg_all")), ["benchmark_performance"])
+    rows = settled(rows)  # six fits read it
     fits = {
         "scale_only": (rows, ["log_model_size"]),
         "performance_only": (rows, ["benchmark_performance"]),
@@ -213,9 +215,8 @@ def size_benchmark_summary(rows: DataFrame) -> DataFrame:
 def teacher_benchmarks(dumps: DataFrame, keep: str = "last") -> DataFrame:
     """Teachers' own benchmark results in wide form; the latest run of a task counts."""
     config = dumps.withColumns(documents.run_config()).select("dataset", "run", "model_name", "results")
-    tasks = documents.exploded_results(config)
-    once = scores.dedupe_runs(tasks, ["dataset", "eval"], keep=keep)
-    return reports.wide_benchmarks(once.withColumns(eval_name(F.col("eval"))))
+    tasks = documents.exploded_results(config).withColumns(eval_name(F.col("eval"))).drop("eval", "n_shots")
+    return reports.wide_benchmarks(scores.dedupe_runs(tasks, ["dataset", "task", "eval_lang"], keep=keep))
 
 
 def quality_against_benchmark(quality: DataFrame, bench: DataFrame, score: str, languages: list[str] | None = None) -> dict[str, DataFrame]:

@@ -9,11 +9,11 @@ from tutorgauge.functions.text import marked_rho, token_count
 from tutorgauge.operators import models, scores, stats
 from tutorgauge.plans import jobs
 from tutorgauge.plans.catalog import query, r
-from tutorgauge.plans.queries_columns import DRAWN, EXAMPLES, SQL_TOKENS, sql_fill, sql_text
+from tutorgauge.plans.queries_columns import DRAWN, EXAMPLES, SQL_TOKENS, sql_fill, sql_text, wide_sql
 from tutorgauge.plans.queries_groups import HASH, quota_sql, ranked
 from tutorgauge.plans.queries_metrics import PAIRS, PG, SCORED, Z_SCORE
 from tutorgauge.plans.queries_sources import SEED_COUNTS, ablation_documents, dumps, literal_languages, literal_models, metric_documents, raw_corpora
-from tutorgauge.plans.queries_stats import QUARTILES, rank_sql
+from tutorgauge.plans.queries_stats import CELL, P_SQL, QUARTILES, rank_sql
 from tutorgauge.plans.views import LANGS, TAG
 from tutorgauge.session import new_folder
 from tutorgauge.sources import documents
@@ -47,27 +47,27 @@ def _(t):
 
 @query(
     "l3_collect_synthesis",
-    "SELECT id, prompt AS prompt_input, 'generate' AS strategy, 'tutor' AS model, upper(prompt) AS user_turn, lower(response) AS assistant_turn FROM v_sft WHERE strategy <> 'translate'",
+    "SELECT id, prompt AS prompt_input, 'generate' AS strategy, 'tutor' AS model, concat('U: ', prompt) AS user_turn, concat('A: ', response) AS assistant_turn FROM v_sft WHERE strategy <> 'translate'",
 )
 def _(t):
-    answers = t.v_sft.select("id", F.upper("prompt").alias("prompt"), F.when(F.col("strategy") != "translate", F.lower("response")).alias("response"))
+    answers = t.v_sft.select("id", F.concat(F.lit("U: "), "prompt").alias("prompt"), F.when(F.col("strategy") != "translate", F.concat(F.lit("A: "), "response")).alias("response"))
     got = jobs.collect_synthesis(t.v_sft.select("id", "prompt", "response"), answers, "generate", "tutor")
     turn = lambda i: F.get("messages", F.lit(i))["content"]
     return got.select("id", "prompt_input", "strategy", "model", turn(0).alias("user_turn"), turn(1).alias("assistant_turn"))
 
 
 TRANSLATE_SQL = sql_fill(fv.TRANSLATE_PROMPT, lang_name=sql_text("Indonesian"), prompt="prompt")
-RESPOND_ID = sql_fill(fv.RESPOND_PROMPT, lang_name=sql_text("Indonesian"), prompt="upper(prompt)")
+RESPOND_ID = sql_fill(fv.RESPOND_PROMPT, lang_name=sql_text("Indonesian"), prompt="concat('T: ', prompt)")
 
 
 @query(
     "l4_translation_dataset",
     f"SELECT id, 'translate' AS way, prompt AS prompt_en, {TRANSLATE_SQL} AS text FROM v_sft UNION ALL SELECT id, 'then_respond', prompt, {RESPOND_ID} FROM v_sft "
-    "UNION ALL SELECT id, 'both', prompt, concat(upper(prompt), '|', upper(response)) FROM v_sft",
+    "UNION ALL SELECT id, 'both', prompt, concat('T: ', prompt, '|', 'T: ', response) FROM v_sft",
 )
 def _(t):
     rows = t.v_sft.select("id", "prompt", "response")
-    translations = rows.select("id", F.upper("prompt").alias("prompt"), F.upper("response").alias("response"))
+    translations = rows.select("id", *[F.concat(F.lit("T: "), c).alias(c) for c in ("prompt", "response")])
     way = lambda df, name, text: df.select("id", F.lit(name).alias("way"), "prompt_en", text.alias("text"))
     first = way(jobs.translation_requests(rows, "translate", "id"), "translate", F.col("synth_prompt"))
     second = way(jobs.translation_requests(rows, "nllb_translate_then_respond", "id", translations), "then_respond", F.col("synth_prompt"))
@@ -187,7 +187,12 @@ def _(t):
     return effect(t)["rankings"]
 
 
-@query("l11_weight_robustness")
+L11_ALL = f"(SELECT teacher_model, target_lang, alpha, round(alpha * z_score + (1 - alpha) * pgr, 12) AS w FROM v_teacher_scores, (VALUES {', '.join(f'({a}::DOUBLE)' for a in fv.ALPHAS)}) AS v(alpha))"
+L11_RANKS = f"(SELECT *, {rank_sql('w', 'alpha')} AS rk FROM {L11_ALL})"
+L11 = f"(SELECT a.alpha AS a, b.alpha AS b, CASE WHEN a.alpha = b.alpha THEN 1 ELSE corr(a.rk, b.rk) END AS rho, count(*) AS n FROM {L11_RANKS} a JOIN {L11_RANKS} b USING (teacher_model, target_lang) GROUP BY 1, 2)"
+
+
+@query("l11_weight_robustness", f"SELECT a AS alpha_a, b AS alpha_b, round(rho, 6) AS rho, {CELL} AS cell FROM (SELECT *, {P_SQL} AS p FROM {L11})")
 def _(t):
     got = stats.weight_robustness(t.v_teacher_scores, ["teacher_model", "target_lang"], fv.ALPHAS, pieces=1)
     return got.select("alpha_a", "alpha_b", r("rho"), marked_rho(F.col("rho"), F.col("p"), F.col("alpha_a") == F.col("alpha_b")).alias("cell"))
@@ -249,7 +254,7 @@ def _(t):
 
 @query("l16_scale_or_benchmark")
 def _(t):
-    perf = jobs.teacher_benchmarks(dumps(t).select("dataset", "run", "results", "config_general"))
+    perf = jobs.teacher_benchmarks(teacher_dumps(t))
     got = jobs.scale_or_benchmark(t.v_teacher_scores, perf)
     return got.select("model", "predictor", r("beta"), r("se"), r("p", digits=4))
 
@@ -292,7 +297,12 @@ def _(t):
     return quality(t)["spearman"].select("language", r("rho"), "n")
 
 
-@query("l18_teacher_benchmarks")
+def teacher_dumps(t):
+    """Runs grouped into one dataset per teacher."""
+    return dumps(t).select(F.get_json_object("config_general", "$.model_name").alias("dataset"), "run", "results", "config_general")
+
+
+@query("l18_teacher_benchmarks", wide_sql())
 def _(t):
-    wide = jobs.teacher_benchmarks(dumps(t).select("dataset", "run", "results", "config_general"))
+    wide = jobs.teacher_benchmarks(teacher_dumps(t))
     return wide.select("model_name", *[r(c, digits=9) for c in wide.columns[1:]])

@@ -29,11 +29,15 @@ def spearman_sql(source: str, x: str, y: str, by: str = "") -> str:
     )
 
 
-# P(|T| >= t) for an even number of degrees of freedom, as the finite series of Student's distribution.
+# P(|T| >= t) as the finite series of Student's distribution, for even and odd degrees of freedom n - 2;
+# rho is the sine of the angle in those series.
+EVEN_TERM = "list_product(list_transform(range(1, k + 1), lambda j: (2 * j - 1) / (2.0e0 * j) * (1 - rho * rho)))"
+ODD_TERM = "sqrt(1 - rho * rho) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: 2.0e0 * j / (2 * j + 1) * (1 - rho * rho))), 1)"
 P_SQL = (
-    "CASE WHEN abs(rho) < 1 THEN 1 - abs(rho) * (1 + coalesce(list_sum(list_transform(range(1, (n - 2) // 2), "
-    "lambda k: list_product(list_transform(range(1, k + 1), lambda j: (2 * j - 1) / (2.0e0 * j) * (1 - rho * rho))))), 0)) ELSE 0 END"
+    f"CASE WHEN abs(rho) >= 1 THEN 0 WHEN n % 2 = 0 THEN 1 - abs(rho) * (1 + coalesce(list_sum(list_transform(range(1, (n - 2) // 2), lambda k: {EVEN_TERM})), 0)) "
+    f"ELSE 1 - 2 / pi() * (asin(abs(rho)) + abs(rho) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: {ODD_TERM})), 0)) END"
 )
+CELL = "CASE WHEN a = b THEN printf('%.2f', rho) WHEN p < 0.01 THEN printf('%.2f**', rho) WHEN p < 0.05 THEN printf('%.2f*', rho) ELSE printf('%.2f', rho) END"
 
 
 @query("x1_spearman", spearman_sql("v_orders", "pg_score", "z_score"))
@@ -46,15 +50,18 @@ def _(t):
     return stats.spearman(t.lineitem, "l_quantity", "l_discount", ["l_returnflag"]).select("l_returnflag", r("rho"), "n", r("t", digits=4))
 
 
-@query("x1_spearman_p", f"SELECT rho, n, round({P_SQL}, 6) AS p FROM (SELECT corr(rx, ry) AS rho, count(*) AS n FROM (SELECT *, {rank_sql('z_score')} AS rx, {rank_sql('pgr')} AS ry FROM v_teacher_scores))".replace("SELECT rho, n,", "SELECT round(rho, 6) AS rho, n,"))
+@query("x1_spearman_p", f"SELECT round(rho, 6) AS rho, n, round({P_SQL}, 6) AS p FROM (SELECT corr(rx, ry) AS rho, count(*) AS n FROM (SELECT *, {rank_sql('z_score')} AS rx, {rank_sql('pgr')} AS ry FROM v_teacher_scores))")
 def _(t):
     return stats.spearman(t.v_teacher_scores, "z_score", "pgr", pieces=1).select(r("rho"), "n", r("p"))
 
 
-def pairs_sql() -> str:
+def pairs_sql(marked: bool = False) -> str:
     a, b = (f"{MEANS} {x}" for x in "ab")
     joined = f"(SELECT a.base_model AS model_a, b.base_model AS model_b, a.pg_score AS x, b.pg_score AS y FROM {a} JOIN {b} ON a.teacher_model = b.teacher_model AND a.base_model <> b.base_model)"
-    rho = f"SELECT model_a, model_b, corr(rx, ry) AS rho FROM (SELECT *, {rank_sql('x', 'model_a, model_b')} AS rx, {rank_sql('y', 'model_a, model_b')} AS ry FROM {joined}) GROUP BY 1, 2"
+    rho = f"SELECT model_a, model_b, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT *, {rank_sql('x', 'model_a, model_b')} AS rx, {rank_sql('y', 'model_a, model_b')} AS ry FROM {joined}) GROUP BY 1, 2"
+    if marked:
+        both = f"SELECT model_a AS a, model_b AS b, rho, {P_SQL} AS p FROM ({rho}) UNION ALL SELECT DISTINCT base_model, base_model, 1e0, 0e0 FROM v_scores"
+        return f"SELECT a AS model_a, b AS model_b, {CELL} AS cell FROM ({both})"
     return f"SELECT model_a, model_b, round(rho, 6) + 0e0 AS rho FROM ({rho}) UNION ALL SELECT DISTINCT base_model, base_model, 1e0 FROM v_scores"
 
 
@@ -64,7 +71,7 @@ def _(t):
     return got.select("model_a", "model_b", r("rho"))
 
 
-@query("x2_marked_matrix")
+@query("x2_marked_matrix", pairs_sql(marked=True))
 def _(t):
     got = stats.pair_correlations(means(t), ["teacher_model"], "base_model", BASES, "pg_score", pieces=1)
     return got.select("model_a", "model_b", marked_rho(F.col("rho"), F.col("p"), F.col("model_a") == F.col("model_b")).alias("cell"))

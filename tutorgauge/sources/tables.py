@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,10 +124,17 @@ def write_missing_languages(df: DataFrame, path: str, key: str = "language") ->
     Returns the whole release table.
     """
     spark = df.sparkSession
-    if exists(spark, path):
-        done = spark.read.parquet(path).select(key).distinct()
-        df = df.join(done, key, "left_anti")
-        df.write.mode("append").partitionBy(key).parquet(path)
-    else:
-        df.write.mode("overwrite").partitionBy(key).parquet(path)
+    done = partition_values(spark, path, key)
+    todo = df.filter(~F.col(key).isin(done)) if done else df
+    todo.write.mode("append").partitionBy(key).parquet(path)
     return spark.read.parquet(path)
+
+
+def partition_values(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of a partition column, from the folder names alone."""
+    if not exists(spark, path):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [e.getPath().getName() for e in entries]
+    return [unquote(n.split("=", 1)[1]) for n in names if n.startswith(f"{key}=")]
