@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def choice_accuracy(df: DataFrame, by: list[str], logp: str = "logp", n_tokens: str = "n_tokens", n_chars: str = "n_chars", logp_uncond: str = "logp_uncond", gold: str = "gold_idx") -> DataFrame:
     """Share of rows whose best choice is the gold one, under three normalisations of log-likelihood."""
-    per = lambda a, b: F.zip_with(a, b, lambda x, y: x / y)
+    per = lambda a, b: F.zip_with(a, b, F.try_divide)
     scores = {
         "acc_norm_token": per(logp, n_tokens),
         "acc_norm_char": per(logp, n_chars),
@@ -51,7 +51,7 @@ def category_accuracy(df: DataFrame, categories: DataFrame, by: list[str], sourc
 def weighted_accuracy(df: DataFrame, categories: DataFrame, by: list[str], source: str = "source", hit: str = "hit") -> DataFrame:
     """Category accuracies joined by their weights."""
     per = category_accuracy(df, categories, by, source, hit)
-    return per.groupBy(*by).agg((F.sum(F.col("weight") * F.col("acc")) / F.sum("weight")).alias("weighted_acc"))
+    return per.groupBy(*by).agg(F.try_divide(F.sum(F.col("weight") * F.col("acc")), F.sum("weight")).alias("weighted_acc"))
 
 
 def mean_and_stderr(df: DataFrame, by: list[str], value: str) -> DataFrame:

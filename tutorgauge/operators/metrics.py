@@ -62,7 +62,7 @@ def batch_perplexity(df: DataFrame, position: str, batch_size: int = 8, losses:
     n = F.greatest(F.size(losses) - F.col(prompt_length), F.lit(0))
     total = F.aggregate(F.slice(losses, F.col(prompt_length) + 1, n), F.lit(0.0), lambda a, x: a + x)
     keyed = df.withColumns({"batch": F.floor(F.col(position) / batch_size), "_n": n, "_t": total})
-    shared = keyed.groupBy("batch").agg((F.exp(F.sum("_t") / F.sum("_n"))).alias("perplexity"))
+    shared = keyed.groupBy("batch").agg(F.exp(F.try_divide(F.sum("_t"), F.sum("_n"))).alias("perplexity"))
     return keyed.drop("_n", "_t").join(shared, "batch", "left")
 
 

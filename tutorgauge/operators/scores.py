@@ -98,8 +98,7 @@ def gain_recovered(df: DataFrame, base: DataFrame, reference: DataFrame) -> Data
     for anchor, name in ((base, "base_perf"), (reference, "ref_perf")):
         right = language_mean(anchor, name).withColumnRenamed("eval_lang", "target_lang")
         student = student.join(right, "target_lang", "left")
-    gap = F.try_subtract("ref_perf", "base_perf")
-    return student.withColumn("pgr", F.try_divide(F.col("result") - F.col("base_perf"), gap)).select(
+    return student.withColumn("pgr", F.try_divide(F.col("result") - F.col("base_perf"), F.col("ref_perf") - F.col("base_perf"))).select(
         "teacher_model", "target_lang", "result", "result_stderr", "used_fallback", "pgr"
     )
 

@@ -20,6 +20,13 @@ def _complete(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation as an aggregate; null where a side does not vary (``corr`` fails there under ANSI)."""
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    # Rounding may carry a perfect correlation just past 1; null must stay null.
+    return F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, pieces: int | None = None) -> DataFrame:
     """Rank correlation with averaged ties over rows where both are present: rho, n, t and p per group."""
     by = list(by or [])
@@ -30,14 +37,14 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, pieces:
     pick = lambda name, c: ranks.filter(F.col("_side") == name).select(*by, F.col("_value").alias(c), F.col("_rank").alias(f"_r{name}"))
     rows = rows.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     ranked = rows.join(pick("x", "_x"), [*by, "_x"]).join(pick("y", "_y"), [*by, "_y"])
-    out = ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    out = ranked.groupBy(*by).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     return out.withColumns({"t": correlation_t(F.col("rho"), F.col("n")), "p": correlation_p(F.col("rho"), F.col("n"))})
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Linear correlation over rows where both are present: r, n, t and p per group."""
     rows = _complete(df, x, y)
-    out = rows.groupBy(*(by or [])).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy(*(by or [])).agg(correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
     return out.withColumns({"t": correlation_t(F.col("r"), F.col("n")), "p": correlation_p(F.col("r"), F.col("n"))})
 
 
@@ -81,7 +88,7 @@ def weight_robustness(df: DataFrame, key: list[str], alphas: list[float], intrin
     wide = ranks.groupBy(*key).pivot("alpha", [float(a) for a in alphas]).agg(F.first("_r"))
     cols = [f"`{float(a)}`" for a in alphas]
     wanted = list(combinations(range(len(alphas)), 2))
-    one = wide.agg(F.count(F.lit(1)).alias("n"), *[F.corr(F.col(cols[i]), F.col(cols[j])).alias(f"c{i}_{j}") for i, j in wanted])
+    one = wide.agg(F.count(F.lit(1)).alias("n"), *[correlation(F.col(cols[i]), F.col(cols[j])).alias(f"c{i}_{j}") for i, j in wanted])
     cell = lambda i, j, rho: F.struct(F.lit(float(alphas[i])).alias("alpha_a"), F.lit(float(alphas[j])).alias("alpha_b"), rho.alias("rho"))
     cells = [cell(i, i, F.lit(1.0)) for i in range(len(alphas))]
     for i, j in wanted:
@@ -96,7 +103,7 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
     out = rows.groupBy(*(by or [])).agg(
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
-        F.corr(x, y).alias("r"),
+        correlation(x, y).alias("r"),
         F.count(F.lit(1)).alias("n"),
         F.regr_sxx(y, x).alias("_sxx"),
         F.regr_syy(y, x).alias("_syy"),
