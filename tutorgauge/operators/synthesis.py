@@ -101,7 +101,7 @@ def answered(df: DataFrame) -> DataFrame:
     return df.filter(F.col("response").isNotNull())
 
 
-def training_rows(df: DataFrame, max_length: int, pad_id: int = 0, source: str = "src_tokens", target: str = "dst_tokens") -> DataFrame:
+def training_rows(df: DataFrame, max_length: int, pad_id: int | str = 0, source: str = "src_tokens", target: str = "dst_tokens") -> DataFrame:
     """Token row, loss mask (target only) and right padding; longer rows are left out."""
     size = F.size(source) + F.size(target)
     pad = F.greatest(F.lit(max_length) - size, F.lit(0))

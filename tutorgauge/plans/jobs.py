@@ -80,6 +80,8 @@ def intrinsic_report(
         rows = sampling.balanced_subsample(rows, balance, by=by, id_col=id_col, seed=seed)
     if limit is not None:
         rows = sampling.shuffle_take(rows, limit, id_col, seed)
+    if balance is not None or limit is not None:
+        rows = settled(rows)  # each metric reads the sample, not the whole input again
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("num_samples"))
     return metrics.metric_table(rows, by, names, params).join(sizes, by)
 
@@ -105,8 +107,14 @@ def export_release(df: DataFrame, path: str, model: str, language: str = "langua
     return tables.write_missing_languages(tables.keep_columns(rows, fv.RELEASE_COLUMNS, {"language": F.col(language)}), path)
 
 
-def training_set(df: DataFrame, n: int | None = None, wanted: dict | None = None, balance: bool = False, seed: int = 42) -> DataFrame:
-    """Filter, sample (balanced by strategy or plain), write out as chat text, split 95/5."""
+def training_set(
+    df: DataFrame, n: int | None = None, wanted: dict | None = None, balance: bool = False, seed: int = 42,
+    max_length: int | None = None, encode=synthesis.tokens,
+) -> DataFrame:
+    """Filter, sample (balanced by strategy or plain), write out as chat text, split 95/5.
+
+    With ``max_length`` the rows also carry padded tokens with their loss mask, and longer ones are left out.
+    """
     rows = filters.matching(df, wanted or {})
     if balance:
         if n is None:
@@ -116,7 +124,10 @@ def training_set(df: DataFrame, n: int | None = None, wanted: dict | None = None
         rows = sampling.shuffle_take(rows, n, seed=seed)
     if "messages" not in rows.columns:
         rows = rows.withColumn("messages", chat_messages(F.col("prompt"), F.col("response")))
-    return sampling.train_validation(rows.withColumn("text", chat_text(F.col("messages"))), seed=seed)
+    rows = sampling.train_validation(rows.withColumn("text", chat_text(F.col("messages"))), seed=seed)
+    if max_length is None:
+        return rows
+    return synthesis.training_rows(synthesis.source_and_target_tokens(rows, encode), max_length, pad_id="")
 
 
 def annotation_sample(df: DataFrame, path: str, n: int = 50, seed: int = 42) -> DataFrame:

@@ -152,6 +152,16 @@ def _(t):
     return jobs.training_set(t.v_sft, 100, balance=True).select("id", "text", "split")
 
 
+TURN = "concat('<start_of_turn>user', chr(10), prompt, chr(10), '<end_of_turn>', chr(10), '<start_of_turn>model', chr(10))"
+L8_SIZE = f"({SQL_TOKENS.format(c=TURN)} + {SQL_TOKENS.format(c='response')})"
+
+
+@query("l8_token_training_set", f"SELECT id, {SQL_TOKENS.format(c='response')} AS loss_tokens, 90 AS size FROM v_sft WHERE {L8_SIZE} <= 90")
+def _(t):
+    rows = jobs.training_set(t.v_sft, max_length=90)
+    return rows.select("id", F.aggregate("input_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("loss_tokens"), F.size("input_tokens").alias("size"))
+
+
 @query("l9_annotation_sample", f"SELECT prompt, response, model FROM {ranked('v_sft', 'model', 'id')} WHERE rn <= 20")
 def _(t):
     return jobs.annotation_sample(t.v_sft, new_folder(t.spark, "l9"), 20).select("prompt", "response", "model")

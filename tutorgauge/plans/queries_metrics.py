@@ -34,6 +34,12 @@ def _(t):
     return got.select("label", "n", r("prompts_distinct_ri"), r("responses_distinct_ri"))
 
 
+@query("j9_mean_similarity", "SELECT a.label, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")
+def _(t):
+    # The all-pairs similarity is never built: its mean follows from the sum of the unit vectors.
+    return metrics.distinct_ri(t.embeddings, ["label"], {"all": "embedding"}).select("label", r(1 - F.col("all_distinct_ri"), "similarity"))
+
+
 @query("m1_distinct_ri_overall", "SELECT round(1 - avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS vectors_distinct_ri FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id")
 def _(t):
     return metrics.distinct_ri(t.embeddings, [], {"vectors": "embedding"}).select(r("vectors_distinct_ri"))
@@ -132,17 +138,17 @@ Z_PARTS = {c: z(c) for c in scores.INTRINSIC[:3]} | {"perplexity": z("perplexity
 Z_SCORE = "(SELECT language, model, (" + " + ".join(Z_PARTS.values()) + ") / 4 AS z_score FROM v_intrinsic)"
 
 
-@query("m6_intrinsic_zscore", f"SELECT language, model, round(z_score, 6) AS z_score FROM {Z_SCORE}")
+@query("m6_intrinsic_zscore", f"SELECT language, model, round(z_score, 6) + 0e0 AS z_score FROM {Z_SCORE}")
 def _(t):
     return scores.intrinsic_zscore(t.v_intrinsic).select("language", "model", r("z_score"))
 
 
-@query("m6_zscore_per_language", "SELECT language, model, round((" + " + ".join(p.replace("OVER ()", "OVER (PARTITION BY language)") for p in Z_PARTS.values()) + ") / 4, 6) AS z_score FROM v_intrinsic")
+@query("m6_zscore_per_language", "SELECT language, model, round((" + " + ".join(p.replace("OVER ()", "OVER (PARTITION BY language)") for p in Z_PARTS.values()) + ") / 4, 6) + 0e0 AS z_score FROM v_intrinsic")
 def _(t):
     return scores.intrinsic_zscore(t.v_intrinsic, ["language"]).select("language", "model", r("z_score"))
 
 
-@query("m7_zscore_components", "SELECT language, model, " + ", ".join(f"round({p}, 6) AS {c}_z" for c, p in Z_PARTS.items()) + " FROM v_intrinsic")
+@query("m7_zscore_components", "SELECT language, model, " + ", ".join(f"round({p}, 6) + 0e0 AS {c}_z" for c, p in Z_PARTS.items()) + " FROM v_intrinsic")
 def _(t):
     return scores.intrinsic_components(t.v_intrinsic).select("language", "model", *[r(f"{c}_z") for c in scores.INTRINSIC])
 

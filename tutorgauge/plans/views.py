@@ -85,8 +85,8 @@ VIEWS: dict[str, str] = {
     # A score table with one row per order, for the operators that must hold on large tables.
     "v_orders": (
         f"SELECT o_orderkey AS id, {teacher('o_custkey')} AS teacher_model, {lang('o_orderkey')} AS target_lang, "
-        "o_orderpriority AS base_model, o_totalprice / 100000 AS pg_score, o_custkey / 100e0 AS z_score, "
-        "(o_totalprice - o_custkey) / 70000 AS pgr FROM {orders}"
+        "o_orderpriority AS base_model, o_totalprice / 99991 AS pg_score, o_custkey / 100e0 AS z_score, "
+        "(o_totalprice - o_custkey) / 70001 AS pgr FROM {orders}"
     ),
     "v_judged": (
         "SELECT l.doc_id AS id, d.source AS model, d.lang AS language, l.quality, l.toxic, "

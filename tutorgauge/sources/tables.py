@@ -77,8 +77,15 @@ def dataset_names(df: DataFrame, part: str, without: str = "quant", column: str
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if partition_by:
+        rebalanced(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def rebalanced(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows brought together by key in even tasks: few files per partition, hot keys split over several tasks."""
+    return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
 def append_table(new: DataFrame, path: str, out: str | None = None) -> str:
@@ -126,7 +133,7 @@ def write_missing_languages(df: DataFrame, path: str, key: str = "language") ->
     spark = df.sparkSession
     done = partition_values(spark, path, key)
     todo = df.filter(~F.col(key).isin(done)) if done else df
-    todo.write.mode("append").partitionBy(key).parquet(path)
+    rebalanced(todo, [key]).write.mode("append").partitionBy(key).parquet(path)
     return spark.read.parquet(path)
 
 
