@@ -68,14 +68,14 @@ def chat_messages(prompt: Column, response: Column) -> Column:
     return F.array(message("user", prompt), message("assistant", response))
 
 
-def chat_text(messages: Column) -> Column:
-    """Messages written out with turn markup."""
+def chat_text(messages: Column, start: str = "") -> Column:
+    """Messages written out with turn markup, after an optional start mark."""
     role = lambda m: F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(x) for kv in fv.GEMMA_ROLE_NAMES.items() for x in kv]), m["role"]),
         m["role"],
     )
     piece = lambda m: F.concat(F.lit("<start_of_turn>"), role(m), F.lit("\n"), F.trim(m["content"]), F.lit("<end_of_turn>\n"))
-    return F.array_join(F.transform(messages, piece), "")
+    return F.concat(F.lit(start), F.array_join(F.transform(messages, piece), ""))
 
 
 def training_source(prompt: Column) -> Column:

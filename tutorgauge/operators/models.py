@@ -120,6 +120,13 @@ def coefficients(df: DataFrame, label: str, kind: str = "linear") -> DataFrame:
     return literal_table(df.sparkSession, rows, "term string, value double")
 
 
+def importances(df: DataFrame, label: str) -> DataFrame:
+    """Importance of each component in the boosted trees."""
+    model = fit_regressions(df, label, ["boosted"])["boosted"]["model"]
+    rows = [(f"PC{i + 1}", float(v)) for i, v in enumerate(model.featureImportances.toArray())]
+    return literal_table(df.sparkSession, rows, "component string, importance double")
+
+
 def predictions(df: DataFrame, label: str, kind: str = "linear") -> DataFrame:
     """Rows with the fitted value of one regression."""
     model = fit_regressions(df, label, [kind])[kind]["model"]

@@ -195,6 +195,26 @@ def feature_model(intrinsic: DataFrame, benchmark: DataFrame, label: str = "resu
     return models.Components(settled(rows), k=k)
 
 
+def feature_report(parts: models.Components, label: str = "result", kinds: list[str] | None = None) -> DataFrame:
+    """One row with the best regression on the components and all that describes it."""
+    rows = settled(parts.scores().select("components", label))
+    fits = models.fit_regressions(rows, label, kinds)
+    best = max(fits, key=lambda k: fits[k]["r2"])
+    model = fits[best]["model"].stages[-1] if best == "quadratic" else fits[best]["model"]
+    linear = best != "boosted"
+    slopes = model.coefficients if linear else model.featureImportances
+    table = (
+        best, parts.k, float(fits[best]["r2"]), [float(x) for x in parts.ratios], [float(x) for x in parts.ratios.cumsum()],
+        parts.features, [[float(x) for x in c] for c in parts.loadings.T], [float(x) for x in slopes.toArray()],
+        float(model.intercept) if linear else None,
+    )
+    ddl = (
+        "best_model string, n_components int, r2_score double, explained_variance_ratio array<double>, cumulative_variance array<double>, "
+        "feature_names array<string>, pca_components array<array<double>>, coefficients array<double>, intercept double"
+    )
+    return tables.literal_table(rows.sparkSession, [table], ddl)
+
+
 def scale_or_benchmark(pg: DataFrame, teacher_perf: DataFrame) -> DataFrame:
     """Mixed models of the score on teacher size, on benchmark score, on both, and per language."""
     perf = teacher_perf.withColumn("teacher_model", F.element_at(F.split("model_name", "/"), -1))

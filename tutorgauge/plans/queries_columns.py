@@ -365,17 +365,18 @@ def _(t):
 def with_gaps(t):
     """Events with nulls and NaNs: errors have no value, sign-ups have NaN."""
     v = F.when(F.col("event_type") == "signup", F.lit(float("nan"))).when(F.col("event_type") != "error", F.col("value"))
-    return t.events.select("event_id", "user_id", F.nullif("event_type", F.lit("view")).alias("kind"), v.alias("value"))
+    half = F.when(F.hour("ts") < 12, "early").otherwise("late").alias("half")
+    return t.events.select("event_id", "user_id", half, F.nullif("event_type", F.lit("view")).alias("kind"), v.alias("value"))
 
 
 GAPS = (
-    "(SELECT event_id, user_id, nullif(event_type, 'view') AS kind, CASE WHEN event_type = 'signup' THEN 'NaN'::DOUBLE WHEN event_type <> 'error' THEN value END AS value FROM events)"
+    "(SELECT event_id, user_id, CASE WHEN hour(ts) < 12 THEN 'early' ELSE 'late' END AS half, nullif(event_type, 'view') AS kind, CASE WHEN event_type = 'signup' THEN 'NaN'::DOUBLE WHEN event_type <> 'error' THEN value END AS value FROM events)"
 )
 
 
-@query("f1_matching_rows", f"SELECT event_id, kind, round(value, 6) AS value FROM {GAPS} WHERE kind IS NULL AND user_id = 7")
+@query("f1_matching_rows", f"SELECT event_id, kind, round(value, 6) AS value FROM {GAPS} WHERE kind IS NULL AND half = 'late'")
 def _(t):
-    return filters.matching(with_gaps(t), {"kind": None, "user_id": 7}).select("event_id", "kind", r("value"))
+    return filters.matching(with_gaps(t), {"kind": None, "half": "late"}).select("event_id", "kind", r("value"))
 
 
 @query(

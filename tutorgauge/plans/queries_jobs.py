@@ -255,6 +255,14 @@ def _(t):
     return jobs.data_scale(rows).select("teacher_model", "target_lang", "scale", r("pg_score"), r("change"))
 
 
+@query("l15_feature_report")
+def _(t):
+    features = documents.read_intrinsic_complete(t.spark, metric_documents(t, "l15r"))
+    parts = jobs.feature_model(features, t.v_teacher_scores, "result")
+    got = jobs.feature_report(parts, "result", ["linear", "ridge", "lasso"])
+    return got.select("best_model", "n_components", r("r2_score"), F.to_json("pca_components").alias("components"), r("intercept"))
+
+
 @query("l15_feature_model")
 def _(t):
     features = documents.read_intrinsic_complete(t.spark, metric_documents(t, "l15"))
