@@ -114,6 +114,21 @@ def test_running_sums_over_restarts(spark):
     assert {r.g: (r.n, r.s) for r in got.collect()} == want and schema
 
 
+class Session:
+    """Stand-in for a session without the setting."""
+
+    def __init__(self, master):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+
+
+def test_shared_folder_without_the_setting():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("yarn"))
+    local = Session("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+
+
 def test_shared_folder_is_the_configured_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_folder(spark) == named.rstrip("/")

@@ -74,6 +74,11 @@ def known_tasks(task: str = "task") -> Column:
     return lookup(F.col(task), fv.HEADLINE_METRIC).isNotNull()
 
 
+def unknown_task_counts(df: DataFrame, task: str = "task") -> DataFrame:
+    """Tasks without a headline metric, which the score leaves out, and their number of rows."""
+    return df.filter(~known_tasks(task)).groupBy(task).agg(F.count(F.lit(1)).alias("n"))
+
+
 def target_language_mean(df: DataFrame, by: list[str] | None = None, measures: tuple[str, ...] = ("result", "result_stderr")) -> DataFrame:
     """Mean over rows evaluated in the target language; over the whole group where it has no such row."""
     by = by or ["teacher_model", "target_lang"]

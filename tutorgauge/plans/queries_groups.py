@@ -373,6 +373,12 @@ def _(t):
     return t.documents.select("source").distinct().join(poor.distinct(), "source", "left_anti")
 
 
+@query("m11_unknown_tasks", "SELECT task, count(*) AS n FROM v_runs WHERE task = 'other_task' GROUP BY task")
+def _(t):
+    rows = documents.exploded_results(dumps(t).select("event_id", "results")).withColumns(eval_name(F.col("eval")))
+    return scores.unknown_task_counts(rows)
+
+
 @query("m11_headline_metric", "SELECT event_id, task, round(result, 9) AS result, round(result_stderr, 9) AS result_stderr FROM v_runs WHERE task <> 'other_task'")
 def _(t):
     rows = documents.exploded_results(dumps(t).select("event_id", "results")).withColumns(eval_name(F.col("eval")))

@@ -288,6 +288,17 @@ def _(t):
     return flat(seeds.wildchat(raw_wildchat_ja(t), 150, 42))
 
 
+@query(
+    "n1_short_conversations",
+    "SELECT 1::INT AS turns, count(*) AS n FROM conversations u LEFT JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user' AND a.role IS NULL",
+)
+def _(t):
+    said = t.conversations.filter("role = 'user'").select("conv_id", "turn", "text")
+    reply = t.conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    talks = said.join(reply, ["conv_id", "turn"], "left").select(F.array_compact(F.array("text", "reply")).alias("conversation"))
+    return seeds.short_conversations(talks, "conversation")
+
+
 def raw_gsm8k(t):
     return t.documents.select(F.col("text").alias("question"), F.concat(F.lit("#### "), F.col("n_chars").cast("string")).alias("answer"))
 

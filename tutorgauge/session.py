@@ -26,6 +26,9 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, readable by every executor.
 
@@ -34,12 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tutorgauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = _local_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tutorgauge-")
+        _local_folders[context.applicationId] = folder
     return folder.rstrip("/")
 
 

@@ -39,9 +39,10 @@ def _metric_columns() -> list[Column]:
 
 
 def read_intrinsic(spark: SparkSession, path: str, tag: str, lineage: str = "S1") -> DataFrame:
-    """Metric documents as one row per (language, model); a missing block is null."""
+    """Metric documents as one row per (language, model), in that order; a missing block is null."""
     docs = read_documents(spark, path, METRIC_DOCUMENT)
-    return docs.select(*[c.alias(k) for k, c in metric_file_name(F.col("stem"), tag, lineage).items()], *_metric_columns())
+    rows = docs.select(*[c.alias(k) for k, c in metric_file_name(F.col("stem"), tag, lineage).items()], *_metric_columns())
+    return rows.orderBy("language", "model")
 
 
 def read_intrinsic_complete(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +63,9 @@ def read_intrinsic_complete(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ablations(spark: SparkSession, path: str) -> DataFrame:
-    """(experiment, filbench_score) per ablation document; a missing score is 0."""
+    """(experiment, filbench_score) per ablation document in name order; a missing score is 0."""
     docs = read_documents(spark, path, ABLATION_DOCUMENT)
-    return docs.select(F.col("stem").alias("experiment"), F.coalesce("filbench_score", F.lit(0.0)).alias("filbench_score"))
+    return docs.select(F.col("stem").alias("experiment"), F.coalesce("filbench_score", F.lit(0.0)).alias("filbench_score")).orderBy("experiment")
 
 
 def per_instance(docs: DataFrame, metric: str, tag: str, lineage: str = "S1") -> DataFrame:

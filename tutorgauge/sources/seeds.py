@@ -109,6 +109,12 @@ def tagalog(aya_raw: DataFrame, wildchat_raw: DataFrame, alpaca_raw: DataFrame)
     return union_all([chats, alpaca, native])
 
 
+def short_conversations(raw: DataFrame, column: str) -> DataFrame:
+    """Conversations by number of turns, of those too short to give a prompt and a response."""
+    turns = F.coalesce(F.size(column), F.lit(0))
+    return raw.groupBy(turns.alias("turns")).agg(F.count(F.lit(1)).alias("n")).filter("turns < 2")
+
+
 SOURCES: dict[str, Callable[..., DataFrame]] = {
     fv.WILDCHAT: wildchat,
     fv.GSM8K: gsm8k,
