@@ -43,10 +43,11 @@ def test_perplexity(spark):
     assert shared[0].perplexity == shared[1].perplexity == pytest.approx(math.exp(2.5))
 
 
-def test_unigram_perplexity_with_a_hot_word(spark):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_unigram_perplexity_with_a_hot_word(spark, broadcast_rows):
     texts = [(i, "x", "the the the " + f"w{i} w{i % 7}") for i in range(200)] + [(999, "y", "solo")]
     df = spark.createDataFrame(texts, "id int, lang string, text string")
-    got = {r.id: r.perplexity for r in metrics.unigram_perplexity(df, "text", "id", ["lang"]).collect()}
+    got = {r.id: r.perplexity for r in metrics.unigram_perplexity(df, "text", "id", ["lang"], broadcast_rows=broadcast_rows).collect()}
     words = [w for i, l, t in texts if l == "x" for w in t.split()]
     count, n, v = {w: words.count(w) for w in set(words)}, len(words), len(set(words))
     for i, l, t in texts[:200]:

@@ -16,6 +16,7 @@ from tutorgauge.operators.filters import count_nan, mean_without_nan, require_co
 from tutorgauge.operators.joins import settled, sized
 
 HOT_SHARE = 1e-4
+VOCABULARY_ROWS = 1_000_000
 
 
 def unit_vector(embedding: Column) -> Column:
@@ -77,12 +78,12 @@ def perplexity_summary(df: DataFrame, by: list[str], perplexity: str = "perplexi
     )
 
 
-def unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pieces: Callable[[Column], Column] = tokens) -> DataFrame:
+def unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pieces: Callable[[Column], Column] = tokens, broadcast_rows: int = VOCABULARY_ROWS) -> DataFrame:
     """Row perplexity under an add-one word model of the row's own group, for use without a language model.
 
-    Words holding at least 1/10,000 of all tokens number at most 10,000, so their losses are broadcast and
-    a row's tokens are summed where they are read. Only the other words are shuffled to meet their losses,
-    and none of those can be hot.
+    A vocabulary of no more than ``broadcast_rows`` counted words goes to every task. Of a larger one only the
+    words that hold at least 1/10,000 of all tokens do (there are at most 10,000), and a row's tokens are
+    summed where they are read; the other words are shuffled to meet their losses, and none of those is hot.
     """
     keys = [*by, "word"]
     words = df.select(id_col, *by, F.explode(pieces(F.col(text))).alias("word"))
@@ -91,14 +92,17 @@ def unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pie
     total = sizes.agg(F.sum("_tokens")).scalar()
     loss = -F.log((F.col("word_count") + 1) / (F.col("_tokens") + F.col("_types")))
     scored = counts.join(sized(sizes), by).withColumn("_nll", loss)
+    part = lambda rows: rows.groupBy(id_col, *by).agg(F.sum("_nll").alias("_loss"), F.count(F.lit(1)).alias("tokens"))
+    mean = lambda rows: rows.select(id_col, *by, "tokens", F.exp(F.col("_loss") / F.col("tokens")).alias("perplexity"))
+    if counts.count() <= broadcast_rows:
+        return mean(part(words.join(F.broadcast(scored.select(*keys, "_nll")), keys)))
     frequent = F.col("word_count") >= HOT_SHARE * total
     hot = F.broadcast(scored.filter(frequent).select(*keys, "_nll"))
     cold = scored.filter(~frequent).select(*keys, "_nll").hint("merge")
-    part = lambda rows: rows.groupBy(id_col, *by).agg(F.sum("_nll").alias("_loss"), F.count(F.lit(1)).alias("tokens"))
     near = part(words.join(hot, keys))
     far = part(words.join(hot, keys, "left_anti").join(cold, keys))
     rows = near.unionByName(far).groupBy(id_col, *by).agg(F.sum("_loss").alias("_loss"), F.sum("tokens").alias("tokens"))
-    return rows.select(id_col, *by, "tokens", F.exp(F.col("_loss") / F.col("tokens")).alias("perplexity"))
+    return mean(rows)
 
 
 def judge_feedback(raw: str = "raw") -> dict[str, Column]:

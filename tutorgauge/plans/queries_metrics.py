@@ -77,12 +77,20 @@ def _(t):
     return metrics.batch_perplexity(loss_rows(t), "id").select("id", r("perplexity"))
 
 
-@query(
-    "m2_unigram_perplexity",
+UNIGRAM = (
     "WITH words AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '\\S+')) AS word FROM documents), "
     "counts AS (SELECT lang, word, count(*) AS c FROM words GROUP BY ALL), sizes AS (SELECT lang, sum(c) AS n, count(*) AS v FROM counts GROUP BY ALL) "
-    "SELECT doc_id, lang, count(*) AS tokens, round(exp(avg(-ln((c + 1) / (n + v)))), 4) AS perplexity FROM words JOIN counts USING (lang, word) JOIN sizes USING (lang) GROUP BY ALL",
+    "SELECT doc_id, lang, count(*) AS tokens, round(exp(avg(-ln((c + 1) / (n + v)))), 4) AS perplexity FROM words JOIN counts USING (lang, word) JOIN sizes USING (lang) GROUP BY ALL"
 )
+
+
+@query("m2_unigram_large_vocabulary", UNIGRAM)
+def _(t):
+    got = metrics.unigram_perplexity(t.documents, "text", "doc_id", ["lang"], broadcast_rows=0)
+    return got.select("doc_id", "lang", "tokens", r("perplexity", digits=4))
+
+
+@query("m2_unigram_perplexity", UNIGRAM)
 def _(t):
     got = metrics.unigram_perplexity(t.documents, "text", "doc_id", ["lang"])
     return got.select("doc_id", "lang", "tokens", r("perplexity", digits=4))
