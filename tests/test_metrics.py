@@ -25,10 +25,18 @@ def brute_distinct_ri(vectors):
 def test_distinct_ri(spark, extra):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(40, 4)).tolist() + extra
-    df = spark.createDataFrame([("g", v) for v in vectors] + [("one", [1.0, 0.0, 0.0, 0.0])], "g string, v array<double>")
+    others = [("one", [1.0, 0.0, 0.0, 0.0]), ("flat", [0.0] * 4), ("flat", [NAN] * 4), ("one", None), ("inf", [math.inf, 1.0, 0.0, 0.0]), ("inf", [1.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([("g", v) for v in vectors] + others, "g string, v array<double>")
     got = {r.g: r.x_distinct_ri for r in metrics.distinct_ri(df, ["g"], {"x": "v"}).collect()}
     assert got["g"] == pytest.approx(brute_distinct_ri(vectors), abs=1e-12)
-    assert got["one"] is None
+    assert got["one"] is None and got["flat"] == 1.0 and got["inf"] == 1.0
+
+
+def test_distinct_ri_of_long_vectors(spark):
+    """The work is linear in the length of a vector."""
+    df = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda i: F.sin(i * F.col("id"))).cast("array<float>").alias("v"))
+    rows = [r.v for r in df.collect()]
+    assert metrics.distinct_ri(df, [], {"x": "v"}).first().x_distinct_ri == pytest.approx(brute_distinct_ri(rows), abs=1e-6)
 
 
 def test_perplexity(spark):

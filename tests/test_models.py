@@ -57,6 +57,15 @@ def test_regressions(parts, data):
     assert table == {"linear": True, "ridge": False}
 
 
+def test_boosted_trees(parts):
+    got, _ = parts
+    rows = got.scores()
+    fits = models.fit_regressions(rows, "result", ["linear", "boosted"])
+    assert fits["boosted"]["r2"] > 0.98
+    weights = fits["boosted"]["model"].featureImportances.toArray()
+    assert weights.sum() == pytest.approx(1.0) and len(weights) == 6
+
+
 def dense_cost(theta, x, y, groups, reml=True):
     n, p = x.shape
     v = np.eye(n) + theta * (groups[:, None] == groups[None, :])

@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tutorgauge.operators import ranking, stats
 from tutorgauge.functions.significance import student_t_p

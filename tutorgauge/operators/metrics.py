@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -19,33 +20,51 @@ HOT_SHARE = 1e-4
 VOCABULARY_ROWS = 1_000_000
 
 
-def unit_vector(embedding: Column) -> Column:
-    """Vector over its length; all zeros where it has none, or holds NaN or infinity."""
-    wide = F.transform(embedding, lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    usable = (length > 0) & ~F.isnan(length) & (length != float("inf"))
-    return F.when(usable, F.transform(wide, lambda x: x / length)).otherwise(F.transform(wide, lambda x: F.lit(0.0)))
+def _directed(embedding: str) -> Column:
+    """Whether a vector has a direction: it is not all zeros and holds neither NaN nor infinity."""
+    low, high = F.array_min(embedding), F.array_max(embedding)  # NaN counts as the largest value
+    usable = (low > float("-inf")) & (high < float("inf")) & ((low != 0) | (high != 0))
+    return F.coalesce(usable, F.lit(False))
 
 
-def distinct_ri(df: DataFrame, by: list[str], embeddings: dict[str, str]) -> DataFrame:
-    """``<name>_distinct_ri``: one minus the mean cosine between different rows of a group.
+def vector_sums(df: DataFrame, by: list[str], embeddings: dict[str, str]) -> DataFrame:
+    """Rows ``n`` per group and, per embedding, how many vectors have a direction and the sum of their unit vectors.
 
-    The mean over all ordered pairs equals (|sum u|^2 - sum |u|^2) / (n (n - 1)) for unit vectors u,
-    so one pass that adds vectors replaces the pair table. Each task hands on one vector a group.
-    Vectors without a direction are similar to nothing and still count in n; fewer than two rows give null.
+    Each task adds its vectors up and hands on one vector a group; such partial sums may be added again.
+    Vectors without a direction add zeros; rows without an embedding are left out.
     """
     require_columns(df, *embeddings.values())
-    vectors = df.select(*by, *[unit_vector(F.col(c)).alias(f"_u_{k}") for k, c in embeddings.items()])
-    sums = vectors.groupBy(*by).agg(
+    rows = df.select(*by, *[F.col(c).cast("array<double>").alias(f"_a_{k}") for k, c in embeddings.items()])
+    rows = rows.na.drop(subset=[f"_a_{k}" for k in embeddings])
+    rows = rows.withColumns({f"_w_{k}": _directed(f"_a_{k}") for k in embeddings})
+    plain = lambda k: F.when(F.col(f"_w_{k}"), F.col(f"_a_{k}")).otherwise(F.array_repeat(F.lit(0.0), F.size(f"_a_{k}")))
+    rows = rows.select(*by, *[c for k in embeddings for c in (f"_w_{k}", array_to_vector(plain(k)).alias(f"_v_{k}"))])
+    for k in embeddings:
+        rows = Normalizer(p=2.0, inputCol=f"_v_{k}", outputCol=f"_u_{k}").transform(rows)
+    sums = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        *[Summarizer.sum(array_to_vector(f"_u_{k}")).alias(f"_s_{k}") for k in embeddings],
-        *[F.sum(F.aggregate(f"_u_{k}", F.lit(0.0), lambda a, x: a + x * x)).alias(f"_q_{k}") for k in embeddings],
+        *[F.count_if(f"_w_{k}").alias(f"directed_{k}") for k in embeddings],
+        *[Summarizer.sum(F.col(f"_u_{k}")).alias(f"_s_{k}") for k in embeddings],
     )
+    return sums.select(*by, "n", *[c for k in embeddings for c in (f"directed_{k}", vector_to_array(f"_s_{k}").alias(f"sum_{k}"))])
+
+
+def distinct_ri_of_sums(sums: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """``<name>_distinct_ri`` from vector sums; null below two rows."""
     n = F.col("n")
-    dot = lambda k: F.aggregate(vector_to_array(f"_s_{k}"), F.lit(0.0), lambda a, x: a + x * x)
-    return sums.select(
-        *by, "n", *[F.when(n > 1, 1 - (dot(k) - F.col(f"_q_{k}")) / (n * (n - 1.0))).alias(f"{k}_distinct_ri") for k in embeddings]
-    )
+    length = lambda k: F.aggregate(f"sum_{k}", F.lit(0.0), lambda a, x: a + x * x)
+    value = lambda k: F.when(n > 1, 1 - (length(k) - F.col(f"directed_{k}")) / (n * (n - 1.0)))
+    return sums.select(*by, "n", *[value(k).alias(f"{k}_distinct_ri") for k in names])
+
+
+def distinct_ri(df: DataFrame, by: list[str], embeddings: dict[str, str]) -> DataFrame:
+    """``<name>_distinct_ri``: one minus the mean cosine between different rows of a group.
+
+    The mean over all ordered pairs equals (|sum u|^2 - sum |u|^2) / (n (n - 1)) for unit vectors u,
+    so one pass that adds vectors replaces the pair table. Vectors without a direction are similar to
+    nothing and still count in n; fewer than two rows give null.
+    """
+    return distinct_ri_of_sums(vector_sums(df, by, embeddings), by, list(embeddings))
 
 
 def perplexity_of_losses(losses: str | Column, prompt_length: str | Column, row_length: Column | None = None) -> Column:

@@ -215,13 +215,17 @@ def feature_report(parts: models.Components, label: str = "result", kinds: list[
     return tables.literal_table(rows.sparkSession, [table], ddl)
 
 
-def scale_or_benchmark(pg: DataFrame, teacher_perf: DataFrame) -> DataFrame:
-    """Mixed models of the score on teacher size, on benchmark score, on both, and per language."""
+def size_and_benchmark(pg: DataFrame, teacher_perf: DataFrame) -> DataFrame:
+    """Scores of teachers whose size and benchmark score are known, with both."""
     perf = teacher_perf.withColumn("teacher_model", F.element_at(F.split("model_name", "/"), -1))
     perf = perf.select("teacher_model", "avg_all", *[f"avg_{l}" for l in fv.BENCHMARKED_LANGUAGES])
     rows = dims.with_model_size(dims.with_dimensions(pg)).join(perf, "teacher_model", "left")
-    rows = filters.without_missing(rows.withColumn("benchmark_performance", F.col("avg_all")), ["benchmark_performance"])
-    rows = settled(rows)  # six fits read it
+    return filters.without_missing(rows.withColumn("benchmark_performance", F.col("avg_all")), ["benchmark_performance"])
+
+
+def scale_or_benchmark(pg: DataFrame, teacher_perf: DataFrame) -> DataFrame:
+    """Mixed models of the score on teacher size, on benchmark score, on both, and per language."""
+    rows = settled(size_and_benchmark(pg, teacher_perf))  # six fits read it
     fits = {
         "scale_only": (rows, ["log_model_size"]),
         "performance_only": (rows, ["benchmark_performance"]),

@@ -119,6 +119,11 @@ def _(t):
     return report.select("teacher_model", "target_lang", "level", r("pg_score"), r("pgr"))
 
 
+@query("a1_teacher_means", f"SELECT teacher_model, {R('avg(pg_score)', 'pg_score')}, {R('avg(result)', 'result')}, {R('avg(pgr)', 'pgr')} FROM v_scores GROUP BY 1")
+def _(t):
+    return scores.mean_scores(t.v_scores, ["teacher_model"]).select("teacher_model", *[r(c) for c in ("pg_score", "result", "pgr")])
+
+
 FALLBACK = (
     "SELECT teacher_model, target_lang, "
     + ", ".join(

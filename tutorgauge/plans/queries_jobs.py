@@ -137,7 +137,7 @@ def _(t):
 def _(t):
     out, progress = streaming.stream_run(t.spark, "l7v")
     stream = streaming.file_stream(t.spark, f"{t.folder}/embeddings*.parquet", t.embeddings.schema).select("label", F.slice("embedding", 1, 32).alias("p"))
-    return streaming.running_vector_sums(stream, ["label"], "p", out, progress).select("label", "n", r("distinct_ri"))
+    return streaming.running_distinct_ri(stream, ["label"], "p", out, progress).select("label", "n", r("distinct_ri"))
 
 
 CHAT_SQL = "concat('<start_of_turn>user', chr(10), trim(prompt), '<end_of_turn>', chr(10), '<start_of_turn>model', chr(10), trim(response), '<end_of_turn>', chr(10))"
@@ -277,6 +277,27 @@ def _(t):
     return got.select("model", "predictor", r("beta"), r("se"), r("p", digits=4))
 
 
+AVG_ALL = f"(SELECT model_name, avg_all FROM ({wide_sql()}))"
+L16 = (
+    f"(SELECT s.teacher_model, m.parameter_size::DOUBLE AS model_size, w.avg_all AS benchmark_performance, avg(s.pg_score) AS pg_score FROM v_teacher_scores s JOIN {literal_models()} ON s.teacher_model = m.teacher "
+    f"JOIN {AVG_ALL} w ON w.model_name = concat('org/', s.teacher_model) WHERE m.parameter_size IS NOT NULL GROUP BY 1, 2, 3)"
+)
+
+
+def summary(t):
+    return jobs.size_benchmark_summary(jobs.size_and_benchmark(t.v_teacher_scores, jobs.teacher_benchmarks(teacher_dumps(t))))
+
+
+@query("l16_size_benchmark_summary", f"SELECT teacher_model, {R('model_size', 'model_size')}, {R('benchmark_performance', 'benchmark_performance')}, {R('pg_score', 'pg_score')} FROM {L16}")
+def _(t):
+    return summary(t).select("teacher_model", r("model_size"), r("benchmark_performance"), r("pg_score"))
+
+
+@query("l16_size_benchmark_correlation", f"SELECT {R('corr(model_size, benchmark_performance)', 'r')}, count(*) AS n FROM {L16}")
+def _(t):
+    return stats.pearson(summary(t), "model_size", "benchmark_performance").select(r("r"), "n")
+
+
 @query("l17_translation_ablation", "SELECT translate_method, " + ", ".join(f"round(avg(pg_score) FILTER (WHERE target_lang = '{l}'), 6) AS {l}" for l in LANGS) + " FROM (SELECT base_model AS translate_method, target_lang, avg(pg_score) AS pg_score FROM v_orders GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     rows = t.v_orders.groupBy(F.col("base_model").alias("translate_method"), "target_lang").agg(F.avg("pg_score").alias("pg_score"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tutorgauge.operators.metrics import unit_vector
+from tutorgauge.operators.metrics import distinct_ri_of_sums, vector_sums
 from tutorgauge.session import new_folder
 
 
@@ -46,24 +48,18 @@ def running_sums(df: DataFrame, by: list[str], sums: dict, path: str, progress:
     return spark.read.parquet(path).groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums])
 
 
-def running_vector_sums(df: DataFrame, by: list[str], vector: str, path: str, progress: str) -> DataFrame:
-    """Partials of distinct-RI over a stream (row count and vector sum per group), added up to the metric."""
+def running_distinct_ri(df: DataFrame, by: list[str], vector: str, path: str, progress: str) -> DataFrame:
+    """Distinct-RI over a stream: vector sums per batch in a folder of their own, added up to the metric."""
+
     def keep(batch: DataFrame, number: int) -> None:
-        unit = batch.select(*by, unit_vector(F.col(vector)).alias("u"))
-        sizes = unit.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)).alias("q")
-        )
-        parts = unit.select(*by, F.posexplode("u")).groupBy(*by, "pos").agg(F.sum("col").alias("s"))
-        sizes.write.mode("overwrite").parquet(f"{path}/sizes/batch={number}")
-        parts.write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
+        vector_sums(batch, by, {"x": vector}).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     df.writeStream.foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
-    spark = df.sparkSession
-    sizes = spark.read.parquet(f"{path}/sizes").groupBy(*by).agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
-    total = spark.read.parquet(f"{path}/parts").groupBy(*by, "pos").agg(F.sum("s").alias("s"))
-    lengths = total.groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("d"))
-    n = F.col("n")
-    return sizes.join(lengths, by).select(*by, "n", F.when(n > 1, 1 - (F.col("d") - F.col("q")) / (n * (n - 1.0))).alias("distinct_ri"))
+    parts = df.sparkSession.read.parquet(path)
+    total = parts.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("directed_x").alias("directed_x"), Summarizer.sum(array_to_vector("sum_x")).alias("_s")
+    )
+    return distinct_ri_of_sums(total.select(*by, "n", "directed_x", vector_to_array("_s").alias("sum_x")), by, ["x"]).withColumnRenamed("x_distinct_ri", "distinct_ri")
 
 
 def stream_run(spark: SparkSession, name: str) -> tuple[str, str]:
