@@ -70,7 +70,7 @@ def test_judge_feedback(spark):
         "oops", "", None, "[]", "3", '{"score":9,"feedback":"ok"}', '{"score":0,"feedback":"ok"}', '{"score":"3","feedback":"ok"}', '{"score":3.0,"feedback":"ok"}',
         '{"score":3}', '{"score":3,"feedback":null}', '{"score":3,"feedback":4}', '{"score":true,"feedback":"ok"}', '{"score":3,"feedback":"ok"} and more', '{"score":3,"feedback":"ok"',
     ]
-    df = spark.createDataFrame([(r,) for r in good + bad], "raw string").withColumns(metrics.judge_feedback())
+    df = metrics.with_judge_feedback(spark.createDataFrame([(r,) for r in good + bad], "raw string"))
     got = [(r.score, r.feedback, r.valid) for r in df.collect()]
     assert got[:2] == [(3, "ok", True), (5, "a, b]", True)]
     assert set(got[2:]) == {(1, "Invalid output", False)}

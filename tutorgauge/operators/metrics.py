@@ -124,32 +124,37 @@ def unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pie
     return mean(rows)
 
 
-def judge_feedback(raw: str = "raw") -> dict[str, Column]:
-    """Judge output as score, feedback and validity.
+def with_judge_feedback(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds ``score``, ``feedback`` and ``valid`` from a judge's raw output, which is parsed once.
 
     Valid is one JSON object with an integer ``score`` from 1 to 5 and a text ``feedback``; any other
     output, and none at all, counts as score 1 with feedback ``Invalid output``.
     """
     # In brackets, text after the object becomes a second element or an error.
-    one = f"try_parse_json(concat('[', {raw}, ']'))"
-    kind = lambda path: F.expr(f"schema_of_variant(try_variant_get({one}, '{path}', 'variant'))")
-    score = F.expr(f"try_variant_get({one}, '$[0].score', 'int')")
-    feedback = F.expr(f"try_variant_get({one}, '$[0].feedback', 'string')")
-    valid = (
-        F.expr(f"try_variant_get({one}, '$[1]', 'variant') is null")
-        & (kind("$[0].score") == "BIGINT") & score.between(1, 5) & (kind("$[0].feedback") == "STRING")
+    parsed = df.withColumn("_json", F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]"))))
+    at = lambda path, kind="variant": F.try_variant_get("_json", path, kind)
+    fields = F.struct(
+        F.schema_of_variant(at("$[0].score")).alias("score_kind"),
+        F.schema_of_variant(at("$[0].feedback")).alias("feedback_kind"),
+        at("$[0].score", "int").alias("score"),
+        at("$[0].feedback", "string").alias("feedback"),
+        at("$[1]").isNull().alias("alone"),
     )
-    valid = F.coalesce(valid, F.lit(False))
-    return {
-        "score": F.when(valid, score).otherwise(F.lit(1)),
-        "feedback": F.when(valid, feedback).otherwise(F.lit("Invalid output")),
-        "valid": valid,
-    }
+    parsed = parsed.withColumn("_fields", fields)
+    f = lambda name: F.col(f"_fields.{name}")
+    valid = f("alone") & (f("score_kind") == "BIGINT") & f("score").between(1, 5) & (f("feedback_kind") == "STRING")
+    parsed = parsed.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    return parsed.withColumns(
+        {
+            "score": F.when(F.col("valid"), f("score")).otherwise(F.lit(1)),
+            "feedback": F.when(F.col("valid"), f("feedback")).otherwise(F.lit("Invalid output")),
+        }
+    ).drop("_json", "_fields")
 
 
 def rubric_score(df: DataFrame, by: list[str], raw: str = "raw") -> DataFrame:
     """Mean judge score, its distribution and the number of invalid outputs."""
-    parsed = df.select(*by, F.col(raw).alias("raw")).withColumns(judge_feedback("raw"))
+    parsed = with_judge_feedback(df.select(*by, F.col(raw).alias("raw")))
     return parsed.groupBy(*by).agg(
         F.avg("score").alias("average_rubric_score"),
         *[F.count_if(F.col("score") == s).alias(f"score_{s}") for s in range(1, 6)],

@@ -105,7 +105,7 @@ SCORED = f"(SELECT *, CASE WHEN valid THEN (raw ->> '$.score')::INT ELSE 1 END A
 
 @query("m3_judge_feedback", f"SELECT id, score, CASE WHEN valid THEN raw ->> '$.feedback' ELSE 'Invalid output' END AS feedback, valid FROM {SCORED}")
 def _(t):
-    return t.v_judged.select("id", "raw").withColumns(metrics.judge_feedback("raw")).select("id", "score", "feedback", "valid")
+    return metrics.with_judge_feedback(t.v_judged.select("id", "raw")).select("id", "score", "feedback", "valid")
 
 
 M3 = ", ".join(f"count(*) FILTER (WHERE score = {s}) AS score_{s}" for s in range(1, 6))
