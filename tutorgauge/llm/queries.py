@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorgauge.llm import line_dedup, mixing, packing, quality_rules, simhash
+from tutorgauge.llm import digests, html_text, line_dedup, mixing, packing, quality_rules, simhash, token_counts, warc, weak_labels
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PASSAGE_CHARS = 500
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -84,3 +85,39 @@ def _(docs):
         "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
         (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"),
     )
+
+
+@query("op5_document_fingerprints", "documents")
+def _(docs):
+    return digests.beside_next(docs).withColumnRenamed("id", "doc_id")
+
+
+WARC_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM firsts
+"""
+
+
+@query("op8_warc_index", "pages", WARC_SQL)
+def _(pages):
+    return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_html_extraction", "pages")
+def _(pages):
+    return html_text.extracted(pages.select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op1_token_counts", "documents")
+def _(docs):
+    counts = token_counts.section_tokens(docs, TOKENIZER, token_counts.passage_sections("text", PASSAGE_CHARS))
+    return counts.select(F.col("id").alias("doc_id"), "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
+
+
+@query("op4_quality_classifier", "documents")
+def _(docs):
+    return weak_labels.classified(docs).withColumnRenamed("id", "doc_id")

@@ -100,7 +100,16 @@ class WordEncoder:
 
     def _by_words(self, text: str) -> bytes:
         words = self.find(text)
-        return self._joined(list(map(self._word, words)), list(map(len, words)) if self.spans else [])
+        if len(words) == 1:
+            return self._word(words[0])
+        parts = list(map(self._word, words))
+        if not self.spans or len(words) > 8:
+            return self._joined(parts, list(map(len, words)) if self.spans else [])
+        at, places = 0, array("I")
+        for word, part in zip(words, parts):
+            places.extend([x + at for x in memoryview(part).cast("I")])
+            at += len(word)
+        return places.tobytes()
 
     def _packed(self, text: str) -> bytes:
         if not text:
