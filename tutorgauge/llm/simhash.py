@@ -78,7 +78,8 @@ def near_fingerprints(table: DataFrame, node: str = "node", fp: str = "fp", bits
     paths = dict(enumerate(choices))
     base = table.select(F.col(node).alias("node"), F.col(fp).alias("fp")).filter("node IS NOT NULL AND fp IS NOT NULL")
     key = lambda p, used: F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(signed(used))).alias("value"))
-    rows = settled(base.select("node", "fp", F.explode(F.array(*[key(p, u) for p, u in paths.items()])).alias("k")).select("node", "fp", "k.path", "k.value"))
+    spread = lambda df, keys: df.select("node", "fp", F.explode(keys).alias("k")).select("node", "fp", "k.path", "k.value")
+    rows = spread(settled(base), F.array(*[key(p, u) for p, u in paths.items()]))
     found = None
     while True:
         crowded = settled(rows.groupBy("path", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
@@ -108,7 +109,7 @@ def near_fingerprints(table: DataFrame, node: str = "node", fp: str = "fp", bits
         for p, numbers in choose.items():
             again = F.when(F.col("path") == p, F.array(*[key(i, deeper[i]) for i in numbers])).otherwise(again)
         busy = rows.join(crowded.select("path", "value"), ["path", "value"], "left_semi")
-        rows = settled(busy.select("node", "fp", F.explode(again).alias("k")).select("node", "fp", "k.path", "k.value"))
+        rows = settled(spread(busy, again))
         paths = deeper
 
 
