@@ -22,5 +22,6 @@ def coin(seed: int, *columns) -> Column:
 
 
 def stable_id(*columns) -> Column:
-    """Surrogate id from content, so a rebuilt table carries the same ids."""
-    return F.md5(F.concat_ws("|", *columns))
+    """Surrogate id from content, so a rebuilt table carries the same ids; lengths tell nulls and separators apart."""
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.length(of(c)).cast("string"), F.lit(":"), of(c)), F.lit("-")) for c in columns]))

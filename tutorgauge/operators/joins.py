@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tutorgauge.session import new_folder
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -17,17 +18,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute an aggregate now and mark it for broadcast if its rows, counted up to the limit, allow it.
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Compute an aggregate now and mark it for broadcast if its rows and bytes, measured up to the limit, allow it.
 
     A larger one is settled and stays a plain side of the join: shuffled, with hot keys split by AQE.
     """
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
         return settled(df)
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
+def with_group_keys(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds a key column per group column that is never null, so that rows of a null group meet in joins."""
+    names = [f"_key_{c}" for c in by]
+    return df.withColumns({n: F.struct(F.col(c).alias("v")) for n, c in zip(names, by)}) if by else df, names
+
+
 def left_join_unique(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str]) -> DataFrame:
     """Left join on keys of different names; right keys are dropped.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tutorgauge.functions.text import token_count, tokens
 from tutorgauge.operators.filters import count_nan, mean_without_nan, require_columns
-from tutorgauge.operators.joins import settled, sized
+from tutorgauge.operators.joins import BROADCAST_BYTES, settled, sized, with_group_keys
 
 HOT_SHARE = 1e-4
 VOCABULARY_ROWS = 1_000_000
@@ -97,13 +97,19 @@ def perplexity_summary(df: DataFrame, by: list[str], perplexity: str = "perplexi
     )
 
 
-def unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pieces: Callable[[Column], Column] = tokens, broadcast_rows: int = VOCABULARY_ROWS) -> DataFrame:
+def unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pieces: Callable[[Column], Column] = tokens, broadcast_rows: int = VOCABULARY_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Row perplexity under an add-one word model of the row's own group, for use without a language model.
 
-    A vocabulary of no more than ``broadcast_rows`` counted words goes to every task. Of a larger one only the
+    A null group is one like others. A vocabulary of no more than ``broadcast_rows`` words of ``broadcast_bytes`` in all goes to every task. Of a larger one only the
     words that hold at least 1/10,000 of all tokens do (there are at most 10,000), and a row's tokens are
     summed where they are read; the other words are shuffled to meet their losses, and none of those is hot.
     """
+    named, groups = with_group_keys(df, by)
+    got = _unigram_perplexity(named, text, id_col, groups, pieces, broadcast_rows, broadcast_bytes)
+    return got.select(id_col, *[F.col(g)["v"].alias(c) for g, c in zip(groups, by)], "tokens", "perplexity")
+
+
+def _unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pieces: Callable, broadcast_rows: int, broadcast_bytes: int) -> DataFrame:
     keys = [*by, "word"]
     words = df.select(id_col, *by, F.explode(pieces(F.col(text))).alias("word"))
     counts = settled(words.groupBy(*keys).agg(F.count(F.lit(1)).alias("word_count")))  # the vocabulary, counted once
@@ -113,7 +119,8 @@ def unigram_perplexity(df: DataFrame, text: str, id_col: str, by: list[str], pie
     scored = counts.join(sized(sizes), by).withColumn("_nll", loss)
     part = lambda rows: rows.groupBy(id_col, *by).agg(F.sum("_nll").alias("_loss"), F.count(F.lit(1)).alias("tokens"))
     mean = lambda rows: rows.select(id_col, *by, "tokens", F.exp(F.col("_loss") / F.col("tokens")).alias("perplexity"))
-    if counts.count() <= broadcast_rows:
+    rows, size = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    if rows <= broadcast_rows and size <= broadcast_bytes:
         return mean(part(words.join(F.broadcast(scored.select(*keys, "_nll")), keys)))
     frequent = F.col("word_count") >= HOT_SHARE * total
     hot = F.broadcast(scored.filter(frequent).select(*keys, "_nll"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tutorgauge.functions.hashing import hash_number, seeded_hash
 from tutorgauge.operators.filters import require_columns
+from tutorgauge.operators.joins import with_group_keys
 from tutorgauge.operators.ranking import first_by_hash, take_by_hash
 
 
@@ -30,11 +31,11 @@ def strategy_quotas(df: DataFrame, total: int, strategy: str = "strategy", by: l
 
 
 def balanced_subsample(df: DataFrame, total: int = 10_000, strategy: str = "strategy", by: list[str] | None = None, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """``total`` rows (per ``by`` group), spread over strategies as evenly as their sizes allow."""
+    """``total`` rows (per ``by`` group), spread over strategies as evenly as their sizes allow. A null group is one like others."""
     require_columns(df, strategy, id_col)
-    keys = [*(by or []), strategy]
-    quotas = strategy_quotas(df, total, strategy, by).drop("available")
-    return take_by_hash(df, quotas, keys, id_col, seed)
+    rows, groups = with_group_keys(df, list(by or []))
+    quotas = strategy_quotas(rows, total, strategy, groups).drop("available")
+    return take_by_hash(rows, quotas, [*groups, strategy], id_col, seed).select(df.columns)
 
 
 def sample_per_group(df: DataFrame, n: int, by: str = "model", id_col: str = "id", seed: int = 42) -> DataFrame:

@@ -15,11 +15,9 @@ from tutorgauge.sources import dims, documents, seeds, tables
 
 def build_seed(raw: dict[str, DataFrame], path: str, n: int, seed: int = 42, include=None, exclude=None) -> DataFrame:
     """Normalise the chosen corpora, check their ids, store the table; returns rows per language."""
-    table = seeds.seed_table(raw, n, seed, include, exclude)
-    tables.write_table(table, path)
-    stored = tables.read_table(table.sparkSession, path)
-    seeds.check_unique_ids(stored)
-    return reports.histogram(stored, "language")
+    table = settled(seeds.seed_table(raw, n, seed, include, exclude))
+    tables.write_table(seeds.check_unique_ids(table), path)
+    return reports.histogram(tables.read_table(table.sparkSession, path), "language")
 
 
 def prepare_synthesis(
@@ -122,6 +120,8 @@ def training_set(
         rows = sampling.balanced_subsample(rows, n, seed=seed)
     elif n is not None:
         rows = sampling.shuffle_take(rows, n, seed=seed)
+    if n is not None:
+        rows = settled(rows)  # the split reads the sample three times
     if "messages" not in rows.columns:
         rows = rows.withColumn("messages", chat_messages(F.col("prompt"), F.col("response")))
     rows = sampling.train_validation(rows.withColumn("text", chat_text(F.col("messages"))), seed=seed)

@@ -113,7 +113,7 @@ def _(t):
     return rows.select("id", *[text.turn(F.col("m"), i, f).alias(f"{f}_{i}") for i in (0, 1) for f in ("role", "content")])
 
 
-@query("p13_surrogate_id", "SELECT doc_id, md5(concat_ws('|', source, CAST(doc_id AS VARCHAR))) AS id FROM documents")
+@query("p13_surrogate_id", "SELECT doc_id, md5(concat_ws('|', coalesce(length(source) || ':' || source, '-'), length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR))) AS id FROM documents")
 def _(t):
     return t.documents.select("doc_id", stable_id("source", F.col("doc_id").cast("string")).alias("id"))
 

@@ -24,7 +24,7 @@ R = lambda expr, name: f"round({expr}, 6) AS {name}"
 
 @query("l1_build_seed", f"SELECT language, sum(count)::BIGINT AS count FROM ({SEED_COUNTS}) GROUP BY language")
 def _(t):
-    return jobs.build_seed(raw_corpora(t), new_folder(t.spark, "l1"), 100, exclude=[fv.AYA])
+    return jobs.build_seed(raw_corpora(t), new_folder(t.spark, "l1"), 100)
 
 
 GERMAN = fv.SYSTEM_PROMPT.format(lang_name="German")
@@ -78,12 +78,12 @@ def _(t):
 @query(
     "l5_intrinsic_report",
     f"SELECT j.model, j.language, round(avg(score), 6) AS average_rubric_score, count(*) FILTER (WHERE NOT valid) AS n_invalid, round(avg({SQL_TOKENS.format(c='d.text')}), 6) AS responses_average_length, "
-    f"round(avg({SQL_TOKENS.format(c='d.lang')}), 6) AS prompts_average_length, count(*) AS num_samples FROM {SCORED} j JOIN documents d ON j.id = d.doc_id WHERE j.language <> 'en' GROUP BY 1, 2",
+    f"round(avg({SQL_TOKENS.format(c='d.lang')}), 6) AS prompts_average_length, count(*) AS num_samples FROM {SCORED} j JOIN documents d ON j.id = d.doc_id GROUP BY 1, 2",
 )
 def _(t):
     texts = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("prompt"), F.col("text").alias("response"))
-    rows = t.v_judged.select("id", "model", "language", "raw", F.col("quality").cast("string").alias("strategy")).filter("language <> 'en'").join(texts, "id")
-    got = jobs.intrinsic_report(rows, ["model", "language"], ["reward_model", "length"], balance=10_000)
+    rows = t.v_judged.select("id", "model", "language", "raw", F.col("quality").cast("string").alias("strategy")).join(texts, "id")
+    got = jobs.intrinsic_report(rows, ["model", "language"], ["reward_model", "length"])
     return got.select("model", "language", r("average_rubric_score"), "n_invalid", r("responses_average_length"), r("prompts_average_length"), "num_samples")
 
 
@@ -133,11 +133,11 @@ def _(t):
     return streaming.running_sums(stream, ["lang", "source"], sums, out, progress)
 
 
-@query("l7_streamed_distinct_ri", f"SELECT label, n, prompts_distinct_ri AS distinct_ri FROM ({PAIRS})")
+@query("l7_streamed_distinct_ri", "SELECT a.label, (SELECT count(*) FROM embeddings e WHERE e.label = a.label) AS n, round(1 - avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distinct_ri FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label")
 def _(t):
     out, progress = streaming.stream_run(t.spark, "l7v")
-    stream = streaming.file_stream(t.spark, f"{t.folder}/embeddings*.parquet", t.embeddings.schema).select("label", F.slice("embedding", 1, 32).alias("p"))
-    return streaming.running_distinct_ri(stream, ["label"], "p", out, progress).select("label", "n", r("distinct_ri"))
+    stream = streaming.file_stream(t.spark, f"{t.folder}/embeddings*.parquet", t.embeddings.schema).select("label", "embedding")
+    return streaming.running_distinct_ri(stream, ["label"], "embedding", out, progress).select("label", "n", r("distinct_ri"))
 
 
 CHAT_SQL = "concat('<start_of_turn>user', chr(10), trim(prompt), '<end_of_turn>', chr(10), '<start_of_turn>model', chr(10), trim(response), '<end_of_turn>', chr(10))"

@@ -14,12 +14,13 @@ from tutorgauge.plans.queries_columns import SQL_TOKENS
 from tutorgauge.sources import documents
 from tutorgauge.sources.tables import literal_table
 
-HALVES = "(SELECT label, vec_id, embedding[1:32] AS p, embedding[33:64] AS q FROM embeddings)"
+HALVES = "(SELECT label, vec_id, embedding[1:len(embedding) // 2] AS p, embedding[len(embedding) // 2 + 1:len(embedding)] AS q FROM embeddings)"
 
 
 def halves(t):
     """The two halves of each vector, in the roles of prompt and response."""
-    return t.embeddings.select("vec_id", "label", F.slice("embedding", 1, 32).alias("p"), F.slice("embedding", 33, 32).alias("q"))
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    return t.embeddings.select("vec_id", "label", F.slice("embedding", F.lit(1), half).alias("p"), F.slice("embedding", half + 1, F.size("embedding") - half).alias("q"))
 
 
 PAIRS = (

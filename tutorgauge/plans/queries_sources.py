@@ -16,9 +16,9 @@ from tutorgauge.streaming import jobs as streaming
 R6 = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
-@query("s1_table_scan", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang <> 'en' GROUP BY source")
+@query("s1_table_scan", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
 def _(t):
-    rows = tables.read_table(t.spark, f"{t.folder}/documents.parquet").filter("lang <> 'en'")
+    rows = tables.read_table(t.spark, f"{t.folder}/documents.parquet")
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -245,10 +245,16 @@ NAMES = LANG_NAMES[:5] + ["English"]
 CODES = [fv.LANGUAGE_CODES[n] for n in LANG_NAMES[:5]] + ["en"]
 
 
+def id_sql(*columns: str) -> str:
+    """Surrogate id of columns: lengths tell nulls and separators apart."""
+    parts = ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns)
+    return f"md5(concat_ws('|', {parts}))"
+
+
 def seed_sql(source: str, strategy: str, prompt: str, response: str, language: str, source_id: str, rest: str) -> str:
     """Oracle of a normaliser: the seed columns with the id from their content."""
     return (
-        f"SELECT md5(concat_ws('|', source, source_id, prompt, response)) AS id, * FROM (SELECT '{source}' AS source, {prompt} AS prompt, "
+        f"SELECT {id_sql('source', 'source_id', 'prompt', 'response')} AS id, * FROM (SELECT '{source}' AS source, {prompt} AS prompt, "
         f"{response} AS response, {language} AS language, '{strategy}' AS strategy, {source_id} AS source_id {rest})"
     )
 
@@ -273,16 +279,17 @@ def raw_wildchat_ja(t):
     )
 
 
-WILDCHAT_RAW = (
+WILDCHAT_SEED = (
     "(SELECT md5(CAST(id AS VARCHAR)) AS h, CASE WHEN conv_id % 7 = 0 THEN concat('EnglishTitle: ', prompt) ELSE prompt END AS prompt, response, "
-    f"{case('conv_id % 6', ['ja'] + [fv.LANGUAGE_CODES[n] for n in LANG_NAMES[:4]] + ['en'])} AS language FROM v_pairs ORDER BY md5(concat('42|', md5(CAST(id AS VARCHAR)))) LIMIT 150)"
+    f"{case('conv_id % 6', ['ja'] + [fv.LANGUAGE_CODES[n] for n in LANG_NAMES[:4]] + ['en'])} AS language FROM v_pairs ORDER BY md5(concat('42|', md5(CAST(id AS VARCHAR)))) LIMIT @ROWS) "
+    "WHERE language <> 'en' AND NOT (language = 'ja' AND (contains(lower(prompt), 'englishtitle') OR contains(lower(prompt), 'katakanaoftitle')))"
 )
 
 
 @query(
     "n1_wildchat",
     seed_sql(fv.WILDCHAT, "generate,respond", "prompt", "response", "language", "h",
-             f"FROM {WILDCHAT_RAW} WHERE language <> 'en' AND NOT (language = 'ja' AND (contains(lower(prompt), 'englishtitle') OR contains(lower(prompt), 'katakanaoftitle')))"),
+             "FROM " + WILDCHAT_SEED.replace("@ROWS", "150")),
 )
 def _(t):
     return flat(seeds.wildchat(raw_wildchat_ja(t), 150, 42))
@@ -331,13 +338,16 @@ def raw_helpsteer(t):
     )
 
 
+HELPSTEER_SEED = f"(SELECT *, {case('conv_id % 6', CODES)} AS language, CASE WHEN conv_id % 4 = 0 THEN 'code' ELSE 'multilingual' END AS domain FROM v_pairs) WHERE domain = 'multilingual' AND language <> 'en'"
+
+
 @query(
     "n4_helpsteer",
     seed_sql(
         fv.HELPSTEER, "generate,respond", "prompt",
         "CASE WHEN id % 5 < 2 THEN response WHEN id % 5 > 2 THEN reverse(response) WHEN ('0x' || substr(md5(concat_ws('|', '42', prompt, response, reverse(response))), 1, 15))::BIGINT % 2 = 0 THEN response ELSE reverse(response) END",
         "language", "md5(prompt)",
-        f"FROM (SELECT *, {case('conv_id % 6', CODES)} AS language, CASE WHEN conv_id % 4 = 0 THEN 'code' ELSE 'multilingual' END AS domain FROM v_pairs) WHERE domain = 'multilingual' AND language <> 'en'",
+        f"FROM {HELPSTEER_SEED}",
     ),
 )
 def _(t):
@@ -368,12 +378,16 @@ def raw_euroblocks(t):
     )
 
 
+EUROBLOCKS_SEED = (
+    f"(SELECT *, {case('id % 6', CODES)} AS language, CASE WHEN id % 4 = 0 THEN 'Magpie-Ultra' ELSE 'EuroSynth' END AS dataset FROM v_pairs) "
+    "WHERE language <> 'en' AND dataset <> 'Magpie-Ultra' ORDER BY md5(concat('42|', md5(to_json([{'from': 'human', 'value': prompt}, {'from': 'gpt', 'value': response}])))) LIMIT "
+)
+
+
 @query(
     "n6_euroblocks",
     seed_sql(fv.EUROBLOCKS, "generate,respond", "prompt", "response", "language", "md5(prompt)",
-             f"FROM (SELECT *, {case('id % 6', CODES)} AS language, CASE WHEN id % 4 = 0 THEN 'Magpie-Ultra' ELSE 'EuroSynth' END AS dataset FROM v_pairs) "
-             "WHERE language <> 'en' AND dataset <> 'Magpie-Ultra' "
-             "ORDER BY md5(concat('42|', md5(to_json([{'from': 'human', 'value': prompt}, {'from': 'gpt', 'value': response}])))) LIMIT 60"),
+             f"FROM {EUROBLOCKS_SEED} 60"),
 )
 def _(t):
     return flat(seeds.euroblocks(raw_euroblocks(t), 60, 42))
@@ -413,7 +427,7 @@ def _(t):
 
 @query(
     "n9_tagalog",
-    "SELECT md5(concat_ws('|', source, source_id, prompt, response)) AS id, * FROM ("
+    f"SELECT {id_sql('source', 'source_id', 'prompt', 'response')} AS id, * FROM ("
     "SELECT 'chats' AS source, prompt, response, 'tl' AS language, 'generate,respond' AS strategy, concat('agentlans/allenai-WildChat_', CAST(id AS VARCHAR)) AS source_id FROM v_pairs "
     "UNION ALL SELECT 'saillab/alpaca-filipino-cleaned', CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN text ELSE concat(text, chr(10), chr(10), lang) END, source, 'tl', 'generate,respond', concat('saillab/alpaca-filipino-cleaned_', CAST(doc_id AS VARCHAR)) FROM documents "
     "UNION ALL SELECT 'CohereLabs/aya_collection', text, concat('re: ', source), 'tl', 'generate,respond', concat('CohereLabs/aya_collection_', CAST(doc_id AS VARCHAR)) "
@@ -439,15 +453,22 @@ def _(t):
 
 def raw_corpora(t) -> dict:
     return {
-        fv.GSM8K: raw_gsm8k(t).distinct(),
+        fv.WILDCHAT: raw_wildchat_ja(t),
+        fv.GSM8K: raw_gsm8k(t),
         fv.MAGPIE: raw_magpie(t),
+        fv.HELPSTEER: raw_helpsteer(t),
         fv.OASST: raw_oasst(t),
+        fv.EUROBLOCKS: raw_euroblocks(t),
         fv.AYA: raw_aya(t),
     }
 
 
 SEED_COUNTS = (
-    "SELECT 'openai/gsm8k' AS source, 'en' AS language, count(DISTINCT text) AS count FROM documents "
+    "SELECT 'openai/gsm8k' AS source, 'en' AS language, count(*) AS count FROM documents "
+    f"UNION ALL SELECT '{fv.WILDCHAT}', language, count(*) FROM {WILDCHAT_SEED.replace('@ROWS', '100')} GROUP BY ALL "
+    f"UNION ALL SELECT '{fv.HELPSTEER}', language, count(*) FROM {HELPSTEER_SEED} GROUP BY ALL "
+    f"UNION ALL SELECT '{fv.EUROBLOCKS}', language, count(*) FROM (SELECT * FROM {EUROBLOCKS_SEED} 100) GROUP BY ALL "
+    f"UNION ALL SELECT '{fv.AYA}', code, count(*) FROM (SELECT {case('doc_id % 6', ISO1)} AS code FROM documents) WHERE code NOT IN ('fr', 'fil') GROUP BY ALL "
     "UNION ALL SELECT 'Magpie-Align/Magpie-Pro-300K-Filtered', 'en', least(count(*), 100) FROM v_pairs "
     f"UNION ALL SELECT 'OpenAssistant/oasst2', code, count(*) FROM (SELECT *, {case('conv_id % 6', CODES)} AS code FROM conversations) WHERE role = 'user' AND code <> 'en' GROUP BY ALL"
 )
@@ -455,7 +476,7 @@ SEED_COUNTS = (
 
 @query("n11_seed_union", SEED_COUNTS)
 def _(t):
-    table = seeds.seed_table(raw_corpora(t), 100, 42, exclude=[fv.AYA])
+    table = seeds.seed_table(raw_corpora(t), 100, 42)
     return reports.histogram(seeds.check_unique_ids(table), "source", "language")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorgauge import fixed_values as fv
@@ -12,6 +12,7 @@ from tutorgauge.functions.hashing import coin, stable_id
 from tutorgauge.functions.names import iso1_code, language_code
 from tutorgauge.functions.text import merged_instruction, turn
 from tutorgauge.operators.filters import japanese_api_call
+from tutorgauge.operators.joins import settled
 from tutorgauge.operators.ranking import first_by_hash
 from tutorgauge.schemas import SEED_COLUMNS
 from tutorgauge.sources.tables import union_all
@@ -138,6 +139,20 @@ def duplicate_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.groupBy(id_col).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def numbered_copies(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Gives equal rows ids of their own: the first copy keeps its id, the k-th gets one made of the id and k.
+
+    Only rows whose id repeats are shuffled.
+    """
+    again = settled(duplicate_ids(df, id_col).select(id_col))
+    if again.isEmpty():
+        return df
+    number = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
+    copies = df.join(again, id_col, "left_semi").withColumn("_copy", number)
+    own = F.when(F.col("_copy") == 1, F.col(id_col)).otherwise(F.md5(F.concat_ws("|", id_col, F.col("_copy").cast("string"))))
+    return df.join(again, id_col, "left_anti").unionByName(copies.withColumn(id_col, own).drop("_copy"))
+
+
 def check_unique_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     if not duplicate_ids(df, id_col).isEmpty():
         raise ValueError("ids are not unique")
@@ -146,4 +161,4 @@ def check_unique_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 def seed_table(raw: dict[str, DataFrame], n: int, seed: int = 42, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """The chosen corpora in one table. ``check_unique_ids`` is the caller's next step."""
-    return union_all([SOURCES[name](raw[name], n, seed) for name in chosen_sources(list(raw), include, exclude)])
+    return numbered_copies(union_all([SOURCES[name](raw[name], n, seed) for name in chosen_sources(list(raw), include, exclude)]))

@@ -125,6 +125,9 @@ def write_csv(df: DataFrame, path: str, blank: tuple[str, ...] = ()) -> None:
     columns.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_missing_languages(df: DataFrame, path: str, key: str = "language") -> DataFrame:
     """Write one partition per language and leave languages that are already there untouched.
 
@@ -132,7 +135,8 @@ def write_missing_languages(df: DataFrame, path: str, key: str = "language") ->
     """
     spark = df.sparkSession
     done = partition_values(spark, path, key)
-    todo = df.filter(~F.col(key).isin(done)) if done else df
+    # a null language is a partition like others, under the name that Spark gives it
+    todo = df.filter(F.coalesce(~F.col(key).isin(done), F.lit(NULL_PARTITION not in done))) if done else df
     rebalanced(todo, [key]).write.mode("append").partitionBy(key).parquet(path)
     return spark.read.parquet(path)
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from tutorgauge.operators.metrics import distinct_ri_of_sums, vector_sums
 from tutorgauge.session import new_folder
+from tutorgauge.sources.tables import exists
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -32,6 +33,11 @@ def append_stream(df: DataFrame, path: str, progress: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partials(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The tables of all batches; without a batch so far an empty one."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def running_sums(df: DataFrame, by: list[str], sums: dict, path: str, progress: str) -> DataFrame:
     """Totals over a stream, kept as one small partial table per batch.
 
@@ -44,8 +50,8 @@ def running_sums(df: DataFrame, by: list[str], sums: dict, path: str, progress:
         batch.groupBy(*by).agg(*[a.alias(n) for n, a in sums.items()]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     df.writeStream.foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
-    spark = df.sparkSession
-    return spark.read.parquet(path).groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums])
+    schema = df.groupBy(*by).agg(*[a.alias(n) for n, a in sums.items()]).schema
+    return partials(df.sparkSession, path, schema).groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums])
 
 
 def running_distinct_ri(df: DataFrame, by: list[str], vector: str, path: str, progress: str) -> DataFrame:
@@ -55,7 +61,7 @@ def running_distinct_ri(df: DataFrame, by: list[str], vector: str, path: str, pr
         vector_sums(batch, by, {"x": vector}).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     df.writeStream.foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
-    parts = df.sparkSession.read.parquet(path)
+    parts = partials(df.sparkSession, path, vector_sums(df, by, {"x": vector}).schema)
     total = parts.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("directed_x").alias("directed_x"), Summarizer.sum(array_to_vector("sum_x")).alias("_s")
     )
