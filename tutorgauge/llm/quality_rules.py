@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tutorgauge.operators.joins import settled
+from tutorgauge.operators.joins import settled, sized
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -125,17 +125,17 @@ def robust_model(rows: DataFrame, share: float = SUBSET, steps: int = STEPS) ->
 
     The start is the median with variances from the quartiles. A concentration step keeps the ``share`` of
     a group's rows nearest to the estimate and fits anew, which cannot raise the determinant. Rows are never gathered:
-    a step is a quantile and a few sums per group, combined map-side.
+    a step is a quantile and a few sums per group, combined map-side, and models are broadcast where their measured size allows.
     """
     p = len(FEATURES)
     quartiles = rows.groupBy("key").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{x}") for x in FEATURES])
     spread = [F.pow(F.greatest((F.col(f"q{x}")[2] - F.col(f"q{x}")[0]) / 1.349, F.lit(f)), 2) for x, f in zip(FEATURES, FLOORS)]
     cells = [1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    model = settled(quartiles.select("key", F.array(*[F.col(f"q{x}")[1] for x in FEATURES]).alias("centre"), F.array(*cells).alias("inverse")))
+    model = sized(quartiles.select("key", F.array(*[F.col(f"q{x}")[1] for x in FEATURES]).alias("centre"), F.array(*cells).alias("inverse")))
     for _ in range(steps):
         at = rows.join(model, "key").select("key", *FEATURES, _squared_distance().alias("d"))
-        near = at.groupBy("key").agg(F.percentile_approx("d", share, 10000).alias("most"))
-        model = settled(_model(_subset_sums(at.join(near, "key").filter("d <= most")), share))
+        near = sized(at.groupBy("key").agg(F.percentile_approx("d", share, 10000).alias("most")))
+        model = sized(_model(_subset_sums(at.join(near, "key").filter("d <= most")), share))
     return model
 
 
@@ -155,17 +155,17 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     passing = table.filter("NOT base_failed")
     groups = settled(passing.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")))
     langs = groups.groupBy("g1").agg(F.sum("n").alias("n1"))
-    sized = groups.join(langs, groups.g1.eqNullSafe(langs.g1)).drop(langs.g1).withColumn("n0", groups.agg(F.sum("n")).scalar())
+    counted = groups.join(langs, groups.g1.eqNullSafe(langs.g1)).drop(langs.g1).withColumn("n0", groups.agg(F.sum("n")).scalar())
     key = lambda level, g1, g2: F.struct(F.lit(level).alias("level"), g1.cast("string").alias("g1"), g2.cast("string").alias("g2"))
     none = F.lit(None)
     own, language, whole = key(2, F.col("g1"), F.col("g2")), key(1, F.col("g1"), none), key(0, none, none)
     chosen = F.when(F.col("n") >= min_rows, own).when(F.col("n1") >= min_rows, language).when(F.col("n0") >= min_rows, whole)
-    keys = settled(sized.select("g1", "g2", chosen.alias("key")))
+    keys = settled(counted.select("g1", "g2", chosen.alias("key")))
     wanted = keys.filter("key IS NOT NULL").select("key").distinct()
     each = passing.select(*FEATURES, F.explode(F.array(own, language, whole)).alias("key"))
-    model = robust_model(settled(each.join(wanted, "key", "left_semi")))
+    model = robust_model(settled(each.join(sized(wanted), "key", "left_semi")))
     # groups and models have a row per language and source
-    places = settled(keys.join(model, "key").select(F.col("g1").alias("of1"), F.col("g2").alias("of2"), "centre", "inverse"))
+    places = sized(keys.join(model, "key").select(F.col("g1").alias("of1"), F.col("g2").alias("of2"), "centre", "inverse"))
     out = table.join(places, table.g1.eqNullSafe(places.of1) & table.g2.eqNullSafe(places.of2), "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(F.greatest(_squared_distance(), F.lit(0.0)))))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
