@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GOOD, NONE, BAD = 2, 1, 0
-TRAINING_ROWS = 8_000  # documents the scorer is fitted on, in expectation, chosen by a hash of their text
+TRAINING_ROWS = 8_000  # different texts the scorer is fitted on at most, in expectation, chosen by their hash
 WIDTH = 1 << 16  # hashed features
 WORD_SCALE = 0.3  # of words against their shapes, of which there are far fewer
 THRESHOLD = 0.5
@@ -193,7 +193,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trai
 
     Vote patterns of all rows are counted (three to the power of the labellers at most, 177,147) and the label model is fitted on
     the counts. The scorer is a logistic model of hashed words, word shapes and repeats, trained on the posteriors of about
-    ``training_rows`` documents drawn by a hash of the text: a bounded sample, which the driver holds; all rows are scored. Null and empty texts are scored as
+    ``training_rows`` different texts at most in expectation, drawn by their hash, copies once: a bounded sample, which the driver holds; all rows are scored. Null and empty texts are scored as
     texts without words. Rows of equal text agree. An empty table gives no rows.
     """
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -211,8 +211,9 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trai
         return pd.DataFrame([[x.tolist() for x in _vector(t)] for t in texts], columns=["places", "values"])
 
     most = int(min(1.0, training_rows / counts.sum()) * (1 << 31))
+    # copies share a hash: however many there are, one row of them is drawn
     drawn = rows.withColumn("hash", F.xxhash64("data")).filter(F.pmod("hash", F.lit(1 << 31)) <= most)
-    sample = drawn.select("hash", _vote_column(F.col("data")).alias("votes"), vectors("data").alias("x")).orderBy("hash").toPandas()
+    sample = drawn.groupBy("hash").agg(F.min("data").alias("data")).select("hash", _vote_column(F.col("data")).alias("votes"), vectors("data").alias("x")).orderBy("hash").toPandas()
     weights, intercept = fitted([(np.array(x["places"]), np.array(x["values"]), posterior[v]) for x, v in zip(sample["x"], sample["votes"])])
 
     @F.pandas_udf("double")
