@@ -184,3 +184,13 @@ def test_classifier_on_labelled_rows(spark):
     hits = [got[r.doc_id].kept == (r.quality == 1) for r in labels]
     assert np.mean(hits) > 0.97 and len(got) == 1003
     assert weak_labels.classified(odd.limit(0)).count() == 0
+
+
+def test_classifier_draws_copies_once(spark, monkeypatch):
+    seen = []
+    fit = weak_labels.fitted
+    monkeypatch.setattr(weak_labels, "fitted", lambda sample, *a: seen.append(len(sample)) or fit(sample, *a))
+    texts = [(i, "the same text again" if i < 300 else f"text number {i} of many") for i in range(400)]
+    rows = weak_labels.classified(spark.createDataFrame(texts, "doc_id long, text string"), training_rows=10_000).collect()
+    assert len(rows) == 400 and len({r.score for r in rows if r.id < 300}) == 1
+    assert seen == [101]
