@@ -104,6 +104,7 @@ def iso1_code(iso3: Column) -> Column:
 
 
 def script_code(iso1: Column) -> Column:
+    """Language and script code of a two-letter code, null where none is known."""
     return lookup(iso1, fv.SCRIPT_CODES)
 
 

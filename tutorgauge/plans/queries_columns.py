@@ -91,7 +91,7 @@ def _(t):
     return t.documents.select("doc_id", names.iso1_code(iso3).alias("code"))
 
 
-@query("p9_script_code", "SELECT doc_id, CASE lang WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' END AS script FROM documents")
+@query("p9_script_code", "SELECT doc_id, CASE lang WHEN 'de' THEN 'deu_Latn' WHEN 'en' THEN 'eng_Latn' WHEN 'es' THEN 'spa_Latn' WHEN 'fr' THEN 'fra_Latn' END AS script FROM documents")
 def _(t):
     return t.documents.select("doc_id", names.script_code(F.col("lang")).alias("script"))
 
