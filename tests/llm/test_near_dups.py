@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 import xxhash
 
 from tutorgauge.llm import line_dedup, simhash
 from tutorgauge.llm.components import components
+from tutorgauge.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, fp string, node long"
 
@@ -160,6 +162,44 @@ def test_loose_members_meet_those_of_connected_classes(spark):
     assert removed == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1}
 
 
+def near_lines():
+    """Lines with near copies of many kinds, short to long: a typo, a changed word or number, up to the 20 % of edits allowed."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abcdefghijklmnoprstu", k=draw.randint(2, 9)))
+    lines = []
+    for n in [1, 2, 3, 4, 6, 8, 10, 15, 20, 25, 40, 60] * 5:
+        base = [*(word() for _ in range(n)), str(draw.randint(10, 99999))]
+        lines.append(" ".join(base))
+        typo = list(lines[-1])
+        typo[draw.randrange(len(typo))] = "x"
+        lines.append("".join(typo))
+        for share in (0.0, 0.05, 0.1, 0.15):
+            w = list(base)
+            for i in draw.sample(range(len(w)), max(1, int(share * len(w)))):
+                w[i] = word()
+            lines.append(" ".join(w))
+    return sorted(set(lines))
+
+
+def test_near_copies_by_edit_similarity_alone(spark, tmp_path):
+    lines = near_lines()
+    norm = [" ".join(x.split()) for x in lines]
+    bags = [Counter(zip(x, x[1:])) for x in norm]
+    # an edit spoils two character pairs at most, so a pair within the limit has this many in common
+    close = lambda i, j, n: (bags[i] & bags[j]).total() >= n - 1 - 2 * (0.2 * n + 1e-9)
+    pairs = [(i, j) for i in range(len(norm)) for j in range(i) if close(i, j, n := max(len(norm[i]), len(norm[j]))) and edit_distance(norm[i], norm[j]) <= 0.2 * n + 1e-9]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sketches = line_dedup.settled(line_dedup._sketches(line_dedup._places(df, "doc_id", "text")))
+    number = {r.line: r.first.id for r in sketches.collect()}
+    links = [(number[r.a], number[r.b]) for r in line_dedup.gram_links(df, sketches).collect()]
+    want, got = roots(range(len(norm)), pairs), roots(range(len(norm)), links)
+    assert all(want[a] == want[b] for a, b in links)
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs) > 200
+    removed = {r.doc_id for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect() if r.n_removed}
+    assert removed == {i for i in got if got[i] != i}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.one_per_group(empty).count() == 0

@@ -36,7 +36,7 @@ def _(docs):
 
 @query("op3_line_dedup", "documents")
 def _(docs):
-    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.dedup_lines(docs, bits=None).select("doc_id", "text", "n_lines", "n_removed")
 
 
 @query("op6_quality_rules", "documents")
