@@ -141,6 +141,12 @@ def test_html_held_out_nodes(model):
     assert all(kept[p] for n, p in enumerate(forest.parent) if kept[n])
 
 
+def test_html_attributes_of_real_pages_are_no_labels():
+    page = html_text.Page('<table><tr><td data-label="Price">12</td><td data-label="">x</td><td data-label="0">y</td><td data-tutorgauge-article="">z</td></tr></table>')
+    assert set(page.label) == {1} and page.text([True] * len(page.group)).split() == ["12", "x", "y", "z"]
+    assert set(html_text.Page(html_text.training_page(1)).label) == {0, 1}
+
+
 def test_html_text(spark, model):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><div class="logo">Site</div></header><nav><ul><li><a href=x>Home</a><li><a>News</a></ul></nav>
     <div class='ad'>Buy now</div><article><h1>A &amp; B</h1><p>First <b>bold</b> text,&nbsp;with   space.<p>Second &lt;p&gt; &#233;t&eacute;<br>line.</p><script>var x="</p>";</script><!-- no --></article>

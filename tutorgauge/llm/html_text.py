@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 TRAINING_PAGES = 800  # generated and labelled by construction: the bound of the training sample
 TREES, DEPTH, SEED = 20, 5, 42
 PAGES_AT_ONCE = 400
+LABEL = "data-tutorgauge-article"  # says in generated pages whether an element is article; pages in use have no such attribute
 
 RAW = {"script", "style", "title", "textarea", "iframe", "noframes", "noembed", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -148,7 +149,7 @@ class Page:
                     tokens |= _TOKENS_OF.get(t.lower(), 0)
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 tokens |= _TOKENS_OF["hidden"]
-            elif name == "data-label":
+            elif name == LABEL and value in ("0", "1"):
                 label = int(value)
         self.group.append(_GROUP_OF.get(tag, -1))
         self.tokens.append(tokens)
@@ -253,7 +254,7 @@ def _words(draw: random.Random, low: int, high: int) -> str:
 
 
 def _tag(name: str, inner: str, keep: int, classes: str = "") -> str:
-    return f'<{name} data-label="{keep}"' + (f' class="{classes}"' if classes else "") + f">{inner}</{name}>"
+    return f'<{name} {LABEL}="{keep}"' + (f' class="{classes}"' if classes else "") + f">{inner}</{name}>"
 
 
 def _links(draw: random.Random, keep: int, low: int = 2, high: int = 12) -> str:
@@ -310,7 +311,7 @@ def _article(draw: random.Random) -> str:
 
 
 def training_page(number: int) -> str:
-    """A random page; ``data-label`` tells whether an element is article. The same number gives the same page."""
+    """A random page; ``LABEL`` tells whether an element is article. The same number gives the same page."""
     draw = random.Random(f"{SEED}-{number}")
     inner = _article(draw)
     body = draw.choice(
