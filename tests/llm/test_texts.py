@@ -162,6 +162,24 @@ def test_quality_rules(spark):
     assert quality_rules.quality_table(df.limit(0)).count() == 0
 
 
+def test_a_third_of_bad_rows_is_rejected(spark):
+    draw = random.Random(3)
+    words = lambda n: ["".join(draw.choices("abcdefghijkl", k=draw.randint(3, 8))) for _ in range(n)]
+    symbols, half = words(120), words(60)
+    bad = {
+        "copies": lambda: " ### ".join(symbols),
+        "near": lambda: " ### ".join(symbols[:-1] + words(1)),
+        "repeats": lambda: " ".join(half + words(3) + half[:26] + words(3) + half[:26][::-1] + words(60)),
+    }
+    rows = []
+    for source, text in bad.items():
+        rows += [(len(rows) + i, " ".join(words(draw.randint(60, 300))), "en", source) for i in range(200)]
+        rows += [(-len(rows) - i, text(), "en", source) for i in range(100)]
+    got = quality_rules.quality_table(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert all(r.kept == (r.id >= 0) for r in got), [(r.id, r.distance) for r in got if r.kept != (r.id >= 0)][:5]
+
+
 def test_label_model_finds_accuracies():
     draw = np.random.default_rng(3)
     k = len(weak_labels.LABELLERS)

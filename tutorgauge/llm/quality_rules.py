@@ -59,10 +59,10 @@ def statistics(text: str | Column) -> Column:
 # --- minimum covariance determinant -------------------------------------------------
 
 FEATURES = ("x0", "x1", "x2", "x3")
-SUBSET = 0.75  # share of a group's rows that its estimate rests on
-STEPS = 6
+SUBSET = 0.5  # share of a group's rows that its estimate rests on; what lies outside may be bad without moving it
+STEPS = 30  # at most; steps end when no determinant falls
 MIN_ROWS = 100  # a group with fewer rows is judged by the estimate of its language, a language by that of all rows
-FLOORS = (0.05, 0.4, 0.5, 1.0)  # least standard deviations: a statistic that is constant in a group must not reject all others
+FLOORS = (0.05, 0.4, 0.5, 0.5)  # least standard deviations: a statistic that is constant in a group must not reject all others
 CUTOFF = 6.0  # Mahalanobis distance beyond which a document is rejected
 
 
@@ -90,20 +90,25 @@ def consistency(share: float, p: int) -> float:
 
 
 def _model(sums: DataFrame, share: float) -> DataFrame:
-    """``(key, centre, inverse)`` from the sums of a group's subset; one row a group, inverted where it lies."""
+    """``(key, start, centre, inverse, det)`` from the sums of a group's rows below and at the limit; one row a group and start.
+
+    Rows at the limit (``_tied``) count only as far as the quota of ``share`` needs them; ``det`` is the log of the determinant.
+    """
     p, factor, floors = len(FEATURES), consistency(share, len(FEATURES)), np.array(FLOORS)
 
-    @F.pandas_udf("struct<centre:array<double>,inverse:array<double>>")
-    def fitted(n: pd.Series, firsts: pd.Series, seconds: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<centre:array<double>,inverse:array<double>,det:double>")
+    def fitted(rows: pd.Series, n: pd.Series, firsts: pd.Series, seconds: pd.Series, n_tied: pd.Series, firsts_tied: pd.Series, seconds_tied: pd.Series) -> pd.DataFrame:
         out = []
-        for count, a, b in zip(n, firsts, seconds):
-            mean = np.asarray(a, float) / count
-            cov = (np.asarray(b, float).reshape(p, p) / count - np.outer(mean, mean)) * factor
+        for whole, count, a, b, more, c, d in zip(rows, n, firsts, seconds, n_tied, firsts_tied, seconds_tied):
+            weight = min(max(math.ceil(share * whole) - count, 0 if count else 1) / more, 1.0) if more else 0.0
+            total = count + weight * more
+            mean = (np.asarray(a, float) + weight * np.asarray(c, float)) / total
+            cov = ((np.asarray(b, float) + weight * np.asarray(d, float)).reshape(p, p) / total - np.outer(mean, mean)) * factor
             cov += np.diag(np.maximum(floors**2 - np.diag(cov), 0))
-            out.append((mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        return pd.DataFrame(out, columns=["centre", "inverse"])
+            out.append((mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+        return pd.DataFrame(out, columns=["centre", "inverse", "det"])
 
-    return sums.select("key", fitted("n", "firsts", "seconds").alias("m")).select("key", "m.centre", "m.inverse")
+    return sums.select("key", "start", fitted("rows", "n", "firsts", "seconds", "n_tied", "firsts_tied", "seconds_tied").alias("m")).select("key", "start", "m.centre", "m.inverse", "m.det")
 
 
 def _squared_distance() -> Column:
@@ -113,37 +118,62 @@ def _squared_distance() -> Column:
 
 
 def _subset_sums(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(x) for x in FEATURES]).alias("firsts"),
-        F.array(*[F.sum(F.col(x) * F.col(y)) for x in FEATURES for y in FEATURES]).alias("seconds"),
-    )
+    """Counts, sums and sums of products of the rows below the limit ``most`` and, as ``_tied``, of those at it."""
+    out = []
+    for name, counts in (("", F.col("d") < F.col("most")), ("_tied", F.col("d") == F.col("most"))):
+        total = lambda x: F.coalesce(F.sum(F.when(counts, x)), F.lit(0.0))
+        out += [
+            F.count(F.when(counts, F.lit(1))).alias(f"n{name}"),
+            F.array(*[total(F.col(x)) for x in FEATURES]).alias(f"firsts{name}"),
+            F.array(*[total(F.col(x) * F.col(y)) for x in FEATURES for y in FEATURES]).alias(f"seconds{name}"),
+        ]
+    return rows.groupBy("key", "start").agg(F.max("rows").alias("rows"), *out)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates to start from, as ``_model`` gives them: the median with variances from the quartiles, the median and the
+    lower quartile with variances from the median deviation, which a share of bad rows below one half cannot carry off."""
+    p = range(len(FEATURES))
+    quartiles = sized(rows.groupBy("key").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{x}") for x in FEATURES]))
+    off = rows.join(quartiles, "key").select("key", *[F.abs(F.col(x) - F.col(f"q{x}")[1]).alias(x) for x in FEATURES])
+    known = quartiles.join(sized(off.groupBy("key").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{x}") for x in FEATURES])), "key")
+    wide = [(F.col(f"q{x}")[2] - F.col(f"q{x}")[0]) / 1.349 for x in FEATURES]
+    narrow = [F.col(f"m{x}") * 1.4826 for x in FEATURES]
+
+    def start(number: int, quartile: int, deviations: list[Column]) -> Column:
+        spread = [F.pow(F.greatest(v, F.lit(f)), 2) for v, f in zip(deviations, FLOORS)]
+        cells = [1 / spread[i] if i == j else F.lit(0.0) for i in p for j in p]
+        return F.struct(F.lit(number).alias("start"), F.array(*[F.col(f"q{x}")[quartile] for x in FEATURES]).alias("centre"), F.array(*cells).alias("inverse"), F.lit(math.inf).alias("det"))
+
+    return sized(known.select("key", F.inline(F.array(start(0, 1, wide), start(1, 1, narrow), start(2, 0, narrow)))))
 
 
 def robust_model(rows: DataFrame, share: float = SUBSET, steps: int = STEPS) -> DataFrame:
     """Minimum covariance determinant of every ``key``: ``(key, centre, inverse)``.
 
-    The start is the median with variances from the quartiles. A concentration step keeps the ``share`` of
-    a group's rows nearest to the estimate and fits anew, which cannot raise the determinant. Rows are never gathered:
+    From several starts, a concentration step keeps the ``share`` of a group's rows nearest to the estimate and fits anew,
+    which cannot raise the determinant, until none falls any more; the start with the least one counts. Rows are never gathered:
     a step is a quantile and a few sums per group, combined map-side, and models are broadcast where their measured size allows.
     """
-    p = len(FEATURES)
-    quartiles = rows.groupBy("key").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{x}") for x in FEATURES])
-    spread = [F.pow(F.greatest((F.col(f"q{x}")[2] - F.col(f"q{x}")[0]) / 1.349, F.lit(f)), 2) for x, f in zip(FEATURES, FLOORS)]
-    cells = [1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    model = sized(quartiles.select("key", F.array(*[F.col(f"q{x}")[1] for x in FEATURES]).alias("centre"), F.array(*cells).alias("inverse")))
+    model = _starts(rows)
     for _ in range(steps):
-        at = rows.join(model, "key").select("key", *FEATURES, _squared_distance().alias("d"))
-        near = sized(at.groupBy("key").agg(F.percentile_approx("d", share, 10000).alias("most")))
-        model = sized(_model(_subset_sums(at.join(near, "key").filter("d <= most")), share))
-    return model
+        at = rows.join(model, "key").select("key", "start", *FEATURES, _squared_distance().alias("d"))
+        near = sized(at.groupBy("key", "start").agg(F.percentile_approx("d", share, 10000).alias("most"), F.count(F.lit(1)).alias("rows")))
+        following = sized(_model(_subset_sums(at.join(near, ["key", "start"]).filter("d <= most")), share))
+        falls = following.alias("x").join(model.select("key", "start", F.col("det").alias("before")), ["key", "start"])
+        fall = falls.agg(F.max(F.col("before") - F.col("det"))).first()[0]
+        model = following
+        if fall is None or fall <= 1e-6:
+            break
+    return model.groupBy("key").agg(F.min_by(F.struct("centre", "inverse"), "det").alias("m")).select("key", "m.centre", "m.inverse")
 
 
 def quality_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
     """Per row ``id, copy``, the five counts, ``base_failed``, ``distance`` and ``kept``; ``copy`` is a hash of the text and the groups.
 
     Base rules reject a document with fewer than 50 words, or with over half of its words in repeated windows. The estimates rest
-    on all rows that pass them, per language and source. A group of fewer than ``min_rows`` such rows takes the estimate of its
+    on all rows that pass them, per language and source; copies of a text count once there, so that many copies of a bad one do
+    not pass for the rule, and all are judged. A group of fewer than ``min_rows`` such texts takes the estimate of its
     language, a small language that of all rows; if there are fewer in all, no distance is given and the base rules decide.
     Null languages and sources are groups like others; a null text has no words and fails the base rules.
     """
@@ -152,7 +182,7 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     counted = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text), *null_safe).alias("copy"), F.col(lang).alias("g1"), F.col(source).alias("g2"), statistics(text).alias("s"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     table = settled(counted.select("id", "copy", "g1", "g2", "s.*").withColumn("base_failed", failed).select("*", *transformed()))
-    passing = table.filter("NOT base_failed")
+    passing = settled(table.filter("NOT base_failed").select("copy", "g1", "g2", *FEATURES).dropDuplicates(["copy"]))
     groups = settled(passing.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")))
     langs = groups.groupBy("g1").agg(F.sum("n").alias("n1"))
     counted = groups.join(langs, groups.g1.eqNullSafe(langs.g1)).drop(langs.g1).withColumn("n0", groups.agg(F.sum("n")).scalar())
