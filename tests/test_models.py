@@ -1,10 +1,12 @@
 """Fits against closed forms."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from tutorgauge.operators import models
 
 
@@ -100,3 +102,13 @@ def test_random_intercept_without_group_effect(spark):
     rows = [(i % 4, float(i), 2.0 * i + (1 if i % 2 else -1)) for i in range(40)]
     got = models.random_intercept(spark.createDataFrame(rows, "g int, x double, y double"), "y", ["x"], "g").first()
     assert got.beta == pytest.approx(2.0, abs=0.02) and got.p < 1e-6
+
+
+@pytest.mark.parametrize("name", ["x11_model_comparison", "l15_feature_model"])
+def test_best_is_chosen_among_all_five(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    rows = entry.queries()[name](spark, folder).collect()
+    assert sorted(r.model for r in rows) == sorted(models.REGRESSIONS)
+    assert [r.model for r in rows if r.best] == [max(rows, key=lambda r: r.r2).model]

@@ -259,7 +259,7 @@ def _(t):
 def _(t):
     features = documents.read_intrinsic_complete(t.spark, metric_documents(t, "l15r"))
     parts = jobs.feature_model(features, t.v_teacher_scores, "result")
-    got = jobs.feature_report(parts, "result", ["linear", "ridge", "lasso"])
+    got = jobs.feature_report(parts, "result")
     return got.select("best_model", "n_components", r("r2_score"), F.to_json("pca_components").alias("components"), r("intercept"))
 
 
@@ -267,7 +267,7 @@ def _(t):
 def _(t):
     features = documents.read_intrinsic_complete(t.spark, metric_documents(t, "l15"))
     parts = jobs.feature_model(features, t.v_teacher_scores, "result")
-    return models.comparison(parts.scores(), "result", ["linear", "ridge", "lasso", "quadratic"]).select("model", r("r2"), r("rmse"), "best")
+    return models.comparison(parts.scores(), "result").select("model", r("r2"), r("rmse"), "best")
 
 
 @query("l16_scale_or_benchmark")

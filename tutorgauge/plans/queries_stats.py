@@ -150,9 +150,6 @@ def _(t):
     return models.Components(rows).loading_table(rows).select("component", "feature", r("loading"))
 
 
-LINEAR = ["linear", "ridge", "lasso", "quadratic"]
-
-
 @query("x10_linear_coefficients")
 def _(t):
     return models.coefficients(models.Components(features(t)).scores(), "result", "linear").select("term", r("value"))
@@ -160,8 +157,7 @@ def _(t):
 
 @query("x10_boosted_trees")
 def _(t):
-    rows = jobs.feature_model(intrinsic_features(t), t.v_teacher_scores, "pg_score").scores()
-    return models.comparison(rows, "pg_score", ["boosted"]).select("model", r("r2"), r("rmse"))
+    return models.comparison(models.Components(features(t)).scores(), "result", ["boosted"]).select("model", r("r2"), r("rmse"))
 
 
 def intrinsic_features(t):
@@ -173,7 +169,7 @@ def intrinsic_features(t):
 
 @query("x11_model_comparison")
 def _(t):
-    return models.comparison(models.Components(features(t)).scores(), "result", LINEAR).select("model", r("r2"), r("rmse"), "best")
+    return models.comparison(models.Components(features(t)).scores(), "result").select("model", r("r2"), r("rmse"), "best")
 
 
 @query("x11_predictions")
