@@ -80,3 +80,13 @@ def test_box_stats(spark):
     df = spark.createDataFrame([("b", v) for v in data] + [(None, 5.0)], "bin string, v double")
     got = stats.box_stats(df, "bin", "v").first()
     assert (got.q1, got.median, got.q3, got.whisker_low, got.whisker_high, got.n_outliers, got.n) == (2.0, 3.0, 4.0, 1.0, 4.0, 1, 5)
+
+
+def test_numbering_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RUN_BITS", 4)
+    df = spark.range(3000, numPartitions=7).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 'hot', cast(id as string))) g", "id number", "id _n")
+    got = ranking.numbered(df.drop("number"), ["g"], "number").toPandas()
+    assert len(got) == 3000 and sorted(got["_n"]) == list(range(3000))
+    for _, part in got.groupby("g", dropna=False):
+        assert sorted(part["number"]) == list(range(1, len(part) + 1))
+    assert ranking.numbered(df.drop("number").limit(0), ["g"], "number").count() == 0

@@ -9,24 +9,41 @@ from tutorgauge.session import new_folder
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
+EXPANSION = 4  # bytes in memory that one byte of a compressed file may stand for
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Compute an intermediate once, as a table in the shared folder: lineage ends there and its size is known."""
     path = new_folder(df.sparkSession, "settled")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again: what was made of them must be settled itself.
+
+    Only tables as ``settled`` returned them own a folder; others are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "_settled_path", None)
+        if path is not None:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Compute an aggregate now and mark it for broadcast if its rows and bytes, measured up to the limit, allow it.
+    """Settle an aggregate and mark it for broadcast if the size of its files and its row count allow it.
 
-    A larger one is settled and stays a plain side of the join: shuffled, with hot keys split by AQE.
+    No row comes to the driver to be measured. A larger one stays a plain side of the join: shuffled, with hot keys split by AQE.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
-        return settled(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+    table = settled(df)
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._settled_path)
+    files = path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path)
+    if files.getLength() * EXPANSION > max_bytes or table.count() > max_rows:
+        return table
+    return F.broadcast(table)
 
 
 def with_group_keys(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:

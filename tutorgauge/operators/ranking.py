@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorgauge.functions.hashing import seeded_hash
-from tutorgauge.operators.joins import sized
+from tutorgauge.operators.joins import settled, sized, with_group_keys
 
 _H, _B = "_hash", "_bucket"
 _TO_HERE = Window.unboundedPreceding, Window.currentRow
@@ -182,6 +182,26 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: l
     return ends.select(*by, "n", F.array(*[part(i, s) for i, s in enumerate(spots)]).alias("q"))
 
 
+RUN_BITS = 17  # rows numbered together: runs of 131,072 rows as they lie in their partitions
+
+
+def numbered(df: DataFrame, by: list[str], number: str = "number") -> DataFrame:
+    """Numbers the rows of each group from 1, whatever the size of a group.
+
+    Rows are written once with their place; a group is numbered run by run (the runs of a hot group lie in many
+    tasks), and the rows of a group's earlier runs are added. Null keys form groups like others. The order is the
+    one in which the rows lay when written, so only rows that may swap places should share a group.
+    """
+    place, run, ahead = "_place", "_run", "_ahead"
+    rows = settled(df.withColumn(place, F.monotonically_increasing_id())).withColumn(run, F.shiftright(place, RUN_BITS))
+    rows, keys = with_group_keys(rows, by)
+    earlier = Window.partitionBy(*keys).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*keys, run).agg(F.count(F.lit(1)).alias("_n"))
+    runs = settled(runs.select(*keys, run, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(ahead)))
+    here = F.row_number().over(Window.partitionBy(*keys, run).orderBy(place))
+    return rows.withColumn(number, here).join(runs, [*keys, run]).select(*df.columns, (F.col(ahead) + F.col(number)).alias(number))
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """First n rows of each group. Spark cuts each partition to n rows before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorgauge import fixed_values as fv
@@ -13,7 +13,7 @@ from tutorgauge.functions.names import iso1_code, language_code
 from tutorgauge.functions.text import merged_instruction, turn
 from tutorgauge.operators.filters import japanese_api_call
 from tutorgauge.operators.joins import settled
-from tutorgauge.operators.ranking import first_by_hash
+from tutorgauge.operators.ranking import first_by_hash, numbered
 from tutorgauge.schemas import SEED_COLUMNS
 from tutorgauge.sources.tables import union_all
 
@@ -142,13 +142,13 @@ def duplicate_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
 def numbered_copies(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Gives equal rows ids of their own: the first copy keeps its id, the k-th gets one made of the id and k.
 
-    Only rows whose id repeats are shuffled.
+    The input is computed once. Only rows whose id repeats are shuffled, and the copies of one id are numbered in many tasks.
     """
+    df = settled(df)
     again = settled(duplicate_ids(df, id_col).select(id_col))
     if again.isEmpty():
         return df
-    number = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    copies = df.join(again, id_col, "left_semi").withColumn("_copy", number)
+    copies = numbered(df.join(again, id_col, "left_semi"), [id_col], "_copy")
     own = F.when(F.col("_copy") == 1, F.col(id_col)).otherwise(F.md5(F.concat_ws("|", id_col, F.col("_copy").cast("string"))))
     return df.join(again, id_col, "left_anti").unionByName(copies.withColumn(id_col, own).drop("_copy"))
 
