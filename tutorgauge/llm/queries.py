@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorgauge.llm import digests, html_text, line_dedup, mixing, packing, quality_rules, simhash, token_counts, warc, weak_labels
+from tutorgauge.llm import digests, html_text, line_dedup, mixing, packing, quality_rules, shards, simhash, token_counts, warc, weak_labels
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PASSAGE_CHARS = 500
@@ -121,3 +121,37 @@ def _(docs):
 @query("op4_quality_classifier", "documents")
 def _(docs):
     return weak_labels.classified(docs).withColumnRenamed("id", "doc_id")
+
+
+SHARD_SQL = """
+WITH steps AS (  -- a byte moves the CRC by two steps of four bits
+  SELECT i, CAST(i AS UBIGINT) AS t, 0 AS k FROM range(16) r(i)),
+halves AS (
+  WITH RECURSIVE moved AS (
+    SELECT i, t, 0 AS k FROM steps
+    UNION ALL SELECT i, xor(t >> 1, CASE WHEN t % 2 = 1 THEN 3988292384 ELSE 0 END::UBIGINT), k + 1 FROM moved WHERE k < 4)
+  SELECT list(t ORDER BY i) AS half FROM moved WHERE k = 4),
+named AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS bytes, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS name,
+    md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS h
+  FROM documents),
+counted AS (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY h) AS r, count(*) OVER (PARTITION BY name) AS n,
+    CAST('0x' || substr(md5('42|offset|' || name), 1, 8) AS BIGINT) / 4294967296e0 AS u
+  FROM named),
+placed AS (SELECT *, row_number() OVER (ORDER BY (r - u) / n, name, r) - 1 AS p, count(*) OVER () AS total FROM counted)
+SELECT doc_id, CAST(octet_length(bytes) + 8 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: CAST('0x' || x AS UBIGINT)),
+    lambda c, b: xor(xor(xor(c, b) >> 4, half[CAST(xor(c, b) % 16 AS BIGINT) + 1]) >> 4, half[CAST(xor(xor(c, b) >> 4, half[CAST(xor(c, b) % 16 AS BIGINT) + 1]) % 16 AS BIGINT) + 1]),
+    CAST(4294967295 AS UBIGINT)), 4294967295::UBIGINT) AS BIGINT) AS text_crc32,
+  'rows' AS law, CAST(p * 24 // total AS INTEGER) AS shard, CAST(p - ((p * 24 // total) * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed, halves
+"""
+
+
+@query("op13_sharding", "documents", SHARD_SQL)
+def _(docs):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = (F.octet_length(text) + 8).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.crc32(text).alias("text_crc32"), shards.shuffle_hash().alias("shuffled"))
+    return shards.interleaved(rows, "source", "shuffled").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
