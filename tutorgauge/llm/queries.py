@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorgauge.llm import digests, html_text, line_dedup, mixing, packing, quality_rules, shards, simhash, token_counts, warc, weak_labels
+from tutorgauge.llm import centroids, digests, html_text, line_dedup, mixing, packing, quality_rules, shards, simhash, token_counts, warc, weak_labels
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PASSAGE_CHARS = 500
@@ -155,3 +155,37 @@ def _(docs):
     size = (F.octet_length(text) + 8).cast("long")
     rows = docs.select("doc_id", "source", size.alias("size"), F.crc32(text).alias("text_crc32"), shards.shuffle_hash().alias("shuffled"))
     return shards.interleaved(rows, "source", "shuffled").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def centroid_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Plain rounds: every vector meets every centroid in each of them."""
+    near = lambda r: f"""
+d{r} AS (
+  SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM parts v JOIN c{r} c ON v.dim = c.dim GROUP BY v.row, c.cluster),
+a{r} AS MATERIALIZED (SELECT row, min(cluster) AS cluster, any_value(distance) AS distance FROM (SELECT *, min(distance) OVER (PARTITION BY row) AS least FROM d{r}) WHERE distance = least GROUP BY row)"""
+    move = lambda r: f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.dim, CASE WHEN s.n IS NULL THEN c.x ELSE CAST((s.x - ((s.x % s.n) + s.n) % s.n) // s.n AS BIGINT) END AS x
+  FROM c{r} c LEFT JOIN (SELECT a.cluster, v.dim, sum(v.x) AS x, count(*) AS n FROM a{r} a JOIN parts v ON v.row = a.row GROUP BY a.cluster, v.dim) s
+    ON s.cluster = c.cluster AND s.dim = c.dim)"""
+    steps = ",".join(near(r) + "," + move(r) for r in range(rounds)) + "," + near(rounds)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+parts AS MATERIALIZED (SELECT row, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM kept),
+first AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS cluster FROM kept QUALIFY cluster < {k}),
+c0 AS MATERIALIZED (SELECT f.cluster, p.dim, p.x FROM first f JOIN parts p ON p.row = f.row),{steps},
+names AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT k.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance,
+  CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, n.centroid_sha256
+FROM kept k JOIN a{rounds} a ON a.row = k.row JOIN names n ON n.cluster = a.cluster
+"""
+
+
+@query("op11_centroid_clustering", "embeddings", centroid_sql())
+def _(vectors):
+    out = centroids.clustered(vectors)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
