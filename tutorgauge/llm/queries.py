@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorgauge.llm import centroids, digests, html_text, line_dedup, mixing, packing, quality_rules, shards, simhash, token_counts, warc, weak_labels
+from tutorgauge.llm import centroids, digests, html_text, line_dedup, mixing, packing, quality_rules, ranked_search, shards, simhash, token_counts, warc, weak_labels
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PASSAGE_CHARS = 500
@@ -189,3 +189,30 @@ def _(vectors):
     out = centroids.clustered(vectors)
     digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
     return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+SEARCH_SQL = r"""
+WITH rows AS (SELECT row_number() OVER () AS row, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT row, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows),
+tfs AS MATERIALIZED (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY row),
+facts AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+items AS (SELECT row_number() OVER () AS item, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT DISTINCT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n_docs FROM facts) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tfs GROUP BY term),
+norms AS (SELECT row, 100 - 90 + (90 * n * (SELECT n_docs FROM facts)) // (SELECT n_terms FROM facts) AS m FROM sizes),
+scores AS (
+  SELECT a.item, a.item_id, t.row, t.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM asked a JOIN tfs t ON t.term = a.term JOIN weights w ON w.term = a.term JOIN norms m ON m.row = t.row GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def _search(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    return ranked_search.ranked(docs, items).withColumnRenamed("id", "doc_id")
+
+
+QUERIES["op12_ranked_search"] = _search
+ORACLE["op12_ranked_search"] = SEARCH_SQL
