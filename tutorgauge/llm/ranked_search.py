@@ -18,7 +18,8 @@ from tutorgauge.operators.ranking import top_per_group
 
 TOP = 10
 BUFFER_DOCS, BUFFER_BYTES = 4096, 4 << 20  # documents that are signed together
-BITS_PER_ENTRY = 8
+BITS_PER_ENTRY = 16
+FIRST = 100  # documents of the highest bounds that are scored for a first floor; decides how much is scored later, not what is found
 TURNS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)  # odd multipliers: an entry's rows in the signature
 LEVEL = 0xA0761D6478BD642F  # moves a term's hash from one level of occurrences to the next
 ITEMS_PER_CHUNK = 256
@@ -264,10 +265,10 @@ def _scored(docs: DataFrame, pairs: DataFrame, asked: DataFrame, chunks: int, n_
     return docs.join(wanted, "key").select("id", "text", "wanted").mapInPandas(run, f"item long, id {kind}, score long")
 
 
-def search(index: DataFrame, docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def search(index: DataFrame, docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", first: int = FIRST) -> DataFrame:
     """``(item_id, rank, id, score)``: the ``top`` documents of each item by score, equal scores by ascending id (null ids last).
 
-    ``index`` is ``build_index`` of the same rows. Term weights come from exact document counts of the index. Then three steps: the documents with the highest bounds
+    ``index`` is ``build_index`` of the same rows. Term weights come from exact document counts of the index. Then three steps: the ``first`` documents with the highest bounds
     are scored exactly, which gives each item the score its ``top``-th document has at least; all documents whose
     bound reaches that are found; those are scored exactly and ranked. So the result is that of scoring every document, at any size.
 
@@ -300,10 +301,10 @@ def search(index: DataFrame, docs: DataFrame, items: DataFrame, top: int = TOP,
     chunks = -(-asked.count() // ITEMS_PER_CHUNK)
     if not chunks:
         return spark.createDataFrame([], schema)
-    first = _best_bounds(_with_chunks(index, _chunks(asked, None, chunks, kind), chunks), top, n_docs, n_terms)
-    first = top_per_group(first, ["item"], [F.col("bound").desc(), "key"], top).select("item", "key")
+    likely = _best_bounds(_with_chunks(index, _chunks(asked, None, chunks, kind), chunks), max(top, first), n_docs, n_terms)
+    likely = top_per_group(likely, ["item"], [F.col("bound").desc(), "key"], max(top, first)).select("item", "key")
     order = [F.col("score").desc(), F.col("id").asc_nulls_last()]
-    scored = top_per_group(_scored(keyed, settled(first), asked, chunks, n_docs, n_terms, kind), ["item"], order, top)
+    scored = top_per_group(_scored(keyed, settled(likely), asked, chunks, n_docs, n_terms, kind), ["item"], order, top)
     floors = settled(scored.filter(F.col("rank") == top).select("item", F.col("score").alias("least"), F.col("id").alias("last")))
     open_pairs = settled(_not_excluded(_with_chunks(index, _chunks(asked, floors, chunks, kind), chunks), n_docs, n_terms))
     ranked = settled(top_per_group(_scored(keyed, open_pairs, asked, chunks, n_docs, n_terms, kind), ["item"], order, top))
