@@ -3,9 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tutorgauge.operators import ranking, stats
 from tutorgauge.functions.significance import student_t_p
+from tutorgauge.session import new_folder
 
 
 @pytest.fixture(scope="module")
@@ -16,23 +18,23 @@ def values():
     return pd.DataFrame({"g": np.where(np.arange(3000) % 5 < 4, "a", "b"), "x": x, "y": x + np.round(rng.normal(size=3000), 1)})
 
 
-@pytest.mark.parametrize("pieces", [1, 4, 40, None])
-def test_average_rank(spark, values, pieces):
+@pytest.mark.parametrize("rows", [1_000_000, 200, 20, 1])
+def test_average_rank(spark, values, rows):
     df = spark.createDataFrame(values)
-    got = ranking.average_rank(df, "x", ["g"], "rk", pieces).toPandas()
+    got = ranking.average_rank(df, "x", ["g"], "rk", rows).toPandas()
     want = values.assign(rk=values.groupby("g").x.rank()).drop_duplicates(["g", "x"])[["g", "x", "rk"]]
     pd.testing.assert_frame_equal(got.sort_values(["g", "x"]).reset_index(drop=True), want.sort_values(["g", "x"]).reset_index(drop=True))
 
 
-@pytest.mark.parametrize("pieces", [1, 16])
-def test_exact_quantiles(spark, values, pieces):
+@pytest.mark.parametrize("rows", [1_000_000, 40])
+def test_exact_quantiles(spark, values, rows):
     probabilities = [0.0, 0.25, 1 / 3, 0.5, 0.9, 1.0]
-    got = ranking.exact_quantiles(spark.createDataFrame(values), "y", probabilities, ["g"], pieces).collect()
+    got = ranking.exact_quantiles(spark.createDataFrame(values), "y", probabilities, ["g"], rows).collect()
     for row in got:
         part = values[values.g == row.g].y
         assert row.n == len(part)
         assert row.q == pytest.approx(np.quantile(part, probabilities).tolist())
-    whole = ranking.exact_quantiles(spark.createDataFrame(values), "y", probabilities, pieces=pieces).first()
+    whole = ranking.exact_quantiles(spark.createDataFrame(values), "y", probabilities, piece_rows=rows).first()
     assert whole.q == pytest.approx(np.quantile(values.y, probabilities).tolist())
 
 
@@ -90,3 +92,22 @@ def test_numbering_of_hot_groups(spark, monkeypatch):
     for _, part in got.groupby("g", dropna=False):
         assert sorted(part["number"]) == list(range(1, len(part) + 1))
     assert ranking.numbered(df.drop("number").limit(0), ["g"], "number").count() == 0
+
+
+def test_ranks_read_their_input_once(spark):
+    """What is ranked afterwards is the settled table of counts: the input is not in the plan any more."""
+    path = new_folder(spark, "t")
+    spark.range(2000).selectExpr("id % 300 x", "if(id % 3 = 0, null, 'g') g").write.parquet(path)
+    for rows in (1_000_000, 50):
+        got = ranking.cumulative_counts(spark.read.parquet(path), "x", ["g"], rows)
+        assert path not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.g: r.e for r in got.groupBy("g").agg(F.max("_end").alias("e")).collect()} == {None: 667, "g": 1333}
+        assert {(r.g, r["_n"]) for r in got.collect()} == {(None, 667), ("g", 1333)}
+    assert ranking.cumulative_counts(spark.read.parquet(path).limit(0), "x", ["g"]).count() == 0
+    assert ranking.exact_quantiles(spark.read.parquet(path).limit(0), "x", [0.5]).count() == 0
+
+
+def test_ranges_of_one_group_lie_in_many_tasks(spark):
+    df = spark.range(5000).selectExpr("cast(id as double) x")
+    placed = ranking.cumulative_counts(df, "x", piece_rows=500)
+    assert [(int(r.x), r["_end"]) for r in placed.orderBy("x").collect()] == [(i, i + 1) for i in range(5000)]

@@ -68,3 +68,38 @@ def macro_average(df: DataFrame, task: str = "task", measures: tuple[str, ...] =
     parts = df.filter(F.col(task).contains(":") & ~F.col(task).endswith(":_average"))
     name = F.substring_index(task, ":", 1)
     return parts.groupBy(F.concat(name, F.lit(":_average")).alias(task)).agg(*[F.avg(m).alias(m) for m in measures])
+
+
+def category_rollup(scores: DataFrame, members: DataFrame, by: list[str], task: str = "task", value: str = "acc") -> DataFrame:
+    """Averages by task, by category and over all, from one aggregate over grouping sets.
+
+    ``members`` is an input table (task, category, weight): a task may be in several categories, with a weight in each. A category is the weighted mean of its
+    members that were scored. The whole is the mean over tasks, in or out of categories, each of them once. ``n_tasks`` counts scored tasks,
+    ``n_missing`` members without a score in the group; a category of which no member was scored has no row. Rows of a task are averaged first;
+    a null or NaN value is no score. Pairs of ``members`` must be unique, and its categories not null.
+    """
+    score = F.col(value).cast("double")
+    each = scores.groupBy(*by, task).agg(F.avg(F.when(~F.isnan(score), score)).alias("_acc")).filter("_acc IS NOT NULL")
+    known = members.select(F.col("task").alias(task), "category", F.col("weight").cast("double").alias("_weight"))
+    shares = known.groupBy(task).agg((1 / F.count(F.lit(1))).alias("_share"))
+    rows = each.join(known.join(shares, task), task, "left").withColumn("_share", F.coalesce("_share", F.lit(1.0)))
+    sets = [[*by, task], [*by, "category"], list(by)]
+    weighted = lambda w: F.try_divide(F.sum(F.col(w) * F.col("_acc")), F.sum(w))
+    rolled = rows.groupingSets(sets, *by, task, "category").agg(
+        F.grouping(task).alias("_no_task"), F.grouping("category").alias("_no_category"),
+        F.avg("_acc").alias("_plain"), weighted("_weight").alias("_weighted"), weighted("_share").alias("_shared"),
+        F.count(F.lit(1)).alias("_rows"), F.sum("_share").alias("_tasks"), F.sum(F.when(F.col("category").isNotNull(), F.col("_share"))).alias("_members"),
+    )
+    level = F.when(F.col("_no_task") == 0, "task").when(F.col("_no_category") == 0, "category").otherwise("all")
+    rolled = rolled.withColumn("level", level).filter("level <> 'category' OR category IS NOT NULL")
+    pick = lambda one, two, three: F.when(F.col("level") == "task", one).when(F.col("level") == "category", two).otherwise(three)
+    whole = lambda c: F.round(c).cast("long")
+    # how many members a category and the whole have: as many rows as there are categories
+    wanted = known.groupBy(F.col("category").alias("_of")).agg(F.count(F.lit(1)).alias("_wanted"))
+    wanted = wanted.unionByName(known.agg(F.lit(None).cast("string").alias("_of"), F.count_distinct(task).alias("_wanted")))
+    met = rolled.join(wanted, (F.col("level") != "task") & F.col("category").eqNullSafe(F.col("_of")), "left")
+    missing = pick(F.lit(0), F.col("_wanted") - F.col("_rows"), F.coalesce("_wanted", F.lit(0)) - F.coalesce(whole(F.col("_members")), F.lit(0)))
+    return met.select(
+        *by, "level", pick(F.col(task), F.col("category"), F.lit("all")).alias("name"), pick(F.col("_plain"), F.col("_weighted"), F.col("_shared")).alias(value),
+        pick(F.lit(1), F.col("_rows"), whole(F.col("_tasks"))).cast("long").alias("n_tasks"), missing.cast("long").alias("n_missing"),
+    )

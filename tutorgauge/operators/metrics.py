@@ -194,6 +194,10 @@ METRICS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+BUILT_IN = dict(METRICS)  # those that are sums and can share a scan
+UNREPORTED = ("num_valid_samples", "total_samples")
+
+
 def register_metric(name: str, metric: Callable[..., DataFrame]) -> None:
     """Add a metric ``(df, by, **params) -> one row per group``."""
     METRICS[name] = metric
@@ -217,10 +221,24 @@ def parse_metric_params(text: str | None) -> dict[str, dict]:
 
 
 def metric_table(df: DataFrame, by: list[str], names: list[str], params: dict[str, dict] | None = None) -> DataFrame:
-    """The requested metrics side by side, one row per group."""
-    params = params or {}
-    parts = [METRICS[n](df, by, **params.get(n, {})) for n in requested_metrics(names)]
-    return reduce(lambda a, b: a.join(b, by, "outer"), parts)
+    """The requested metrics side by side, one row per group.
+
+    Metrics that are sums (``mergeable.STATISTICS``) share one scan and one aggregate; others run on their own and are joined.
+    """
+    from tutorgauge.operators import mergeable  # which builds on this module
+
+    params, wanted = params or {}, requested_metrics(names)
+    own = [n for n in wanted if METRICS[n] is not BUILT_IN.get(n)]
+    shared = [mergeable.STATISTICS[n](**params.get(n, {})) for n in wanted if n not in own]
+    parts = [METRICS[n](df, by, **params.get(n, {})) for n in own]
+    if shared:
+        parts.insert(0, mergeable.evaluated(df, by, shared).drop(*UNREPORTED))
+    if len(parts) == 1:
+        return parts[0]
+    keyed = [with_group_keys(p, by)[0].drop(*by).withColumn("_key_all", F.lit(0)) for p in parts]
+    keys = [*[f"_key_{c}" for c in by], "_key_all"]
+    whole = reduce(lambda a, b: a.join(b, keys, "outer"), keyed)
+    return whole.select(*[F.col(k)["v"].alias(c) for k, c in zip(keys, by)], *[c for c in whole.columns if c not in keys])
 
 
 def metric_rows(table: DataFrame, keys: list[str]) -> DataFrame:

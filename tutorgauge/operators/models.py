@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorgauge.functions.significance import normal_p
+from tutorgauge.operators.joins import released, settled
 from tutorgauge.operators.scores import standardized
 from tutorgauge.sources.tables import literal_table
 
@@ -138,7 +139,8 @@ def random_intercept(df: DataFrame, y: str, x: list[str], group: str, reml: bool
 
     Under this model a group enters the likelihood only through its size, its sums and its second
     moments, and groups of one size share their weight. So the data is summed per group, the groups per
-    size, and the driver fits one variance ratio over those few sums (no more rows than distinct sizes).
+    size, and that table is settled. The likelihood of a grid of variance ratios is one aggregate over it, refined around the
+    best point; the driver sees one row per grid point, however many sizes there are.
     AIC and BIC are given for the maximum-likelihood fit only.
     """
     spark, p = df.sparkSession, len(x) + 1
@@ -151,11 +153,11 @@ def random_intercept(df: DataFrame, y: str, x: list[str], group: str, reml: bool
         *[F.sum(col(i)).alias(f"s{i}") for i in range(p + 1)],
         *[F.sum(col(i) * col(j)).alias(f"m{i}_{j}") for i, j in index],
     )
-    by_size = sums.groupBy("n").agg(
+    by_size = settled(sums.groupBy("n").agg(
         F.count(F.lit(1)).alias("groups"),
         *[F.sum(f"m{i}_{j}").alias(f"m{i}_{j}") for i, j in index],
         *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"o{i}_{j}") for i, j in index],
-    ).collect()
+    ))
 
     def square(row, name: str) -> np.ndarray:
         a = np.zeros((p + 1, p + 1))
@@ -163,31 +165,38 @@ def random_intercept(df: DataFrame, y: str, x: list[str], group: str, reml: bool
             a[i, j] = a[j, i] = row[f"{name}{i}_{j}"]
         return a
 
-    parts = [(r.n, r.groups, square(r, "m"), square(r, "o")) for r in by_size]
-    total = sum(n * g for n, g, _, _ in parts)
+    whole = by_size.agg(F.sum(F.col("n") * F.col("groups")).alias("rows"), *[F.sum(f"m{i}_{j}").alias(f"m{i}_{j}") for i, j in index]).first()
+    total = whole["rows"] or 0
     if total <= p:
         return literal_table(spark, [], "predictor string, beta double, se double, t double, p double, ratio double, aic double, bic double")
     free = total - p if reml else total
-
-    def fit(ratio: float):
-        full = sum(m - (ratio / (1 + n * ratio)) * o for n, _, m, o in parts)
-        a, b, c = full[:p, :p], full[:p, p], full[p, p]
-        beta = np.linalg.solve(a, b)
-        sigma2 = max((c - b @ beta) / free, 1e-300)
-        cost = free * math.log(sigma2) + sum(g * math.log1p(n * ratio) for n, g, _, _ in parts)
-        cost += np.linalg.slogdet(a)[1] if reml else 0.0
-        return cost, beta, sigma2, a
-
-    # The cost is scanned over the log of the ratio, then narrowed by golden section.
-    grid = np.linspace(-25.0, 15.0, 161)
-    at = int(np.argmin([fit(math.exp(g))[0] for g in grid]))
-    low, high, golden = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)], (math.sqrt(5) - 1) / 2
-    for _ in range(100):
-        left, right = high - golden * (high - low), low + golden * (high - low)
-        low, high = (low, right) if fit(math.exp(left))[0] < fit(math.exp(right))[0] else (left, high)
-    ratio = math.exp((low + high) / 2)
-    ratio = 0.0 if fit(0.0)[0] <= fit(ratio)[0] else ratio
-    cost, beta, sigma2, a = fit(ratio)
+    moments = square(whole, "m")
+
+    def fits(ratios: list[float]) -> list[tuple]:
+        """(cost, ratio, beta, sigma2, a) of every ratio, from one aggregate over the sizes."""
+        each = by_size.withColumn("ratio", F.explode(F.array(*[F.lit(float(x)) for x in ratios])))
+        shrink = F.col("ratio") / (1 + F.col("n") * F.col("ratio"))
+        rows = each.groupBy("ratio").agg(F.sum(F.col("groups") * F.log1p(F.col("n") * F.col("ratio"))).alias("spread"), *[F.sum(shrink * F.col(f"o{i}_{j}")).alias(f"o{i}_{j}") for i, j in index]).collect()
+        out = []
+        for row in rows:
+            full = moments - square(row, "o")
+            a, b, c = full[:p, :p], full[:p, p], full[p, p]
+            beta = np.linalg.solve(a, b)
+            sigma2 = max((c - b @ beta) / free, 1e-300)
+            cost = free * math.log(sigma2) + row["spread"] + (np.linalg.slogdet(a)[1] if reml else 0.0)
+            out.append((cost, row["ratio"], beta, sigma2, a))
+        return sorted(out, key=lambda x: x[:2])
+
+    # The cost is scanned over the log of the ratio, then between the neighbours of the best point, again and again.
+    low, high, points, tried = -25.0, 15.0, 161, []
+    while high - low > 1e-7:
+        step = (high - low) / (points - 1)
+        found = fits([math.exp(low + step * i) for i in range(points)] + ([] if tried else [0.0]))
+        tried.append(found[0])
+        at = math.log(next(x[1] for x in found if x[1] > 0))
+        low, high, points = max(at - step, -25.0), min(at + step, 15.0), 129
+    released(by_size)
+    cost, ratio, beta, sigma2, a = min(tried, key=lambda x: x[:2])
     se = np.sqrt(sigma2 * np.diag(np.linalg.inv(a)))
     log_likelihood = -0.5 * (cost + free * (1 + math.log(2 * math.pi)))
     count = p + 2

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorgauge.functions.hashing import seeded_hash
-from tutorgauge.operators.joins import settled, sized, with_group_keys
+from tutorgauge.operators.joins import released, settled, sized, with_group_keys
 
 _H, _B = "_hash", "_bucket"
 _TO_HERE = Window.unboundedPreceding, Window.currentRow
@@ -125,55 +125,49 @@ def shuffled_index(df: DataFrame, id_col: str = "id", seed: int = 42, index: str
     )
 
 
-def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None, pieces: int | None = None) -> DataFrame:
-    """Distinct (group, value) with ``_c`` rows of that value and ``_end`` rows up to it; null and NaN are left out.
+PIECE_ROWS = 200_000  # distinct values that are ordered in one task
 
-    Copies of a value are counted before any sort, then distinct values are cut at approximate
-    quantiles into ``pieces`` runs which are sorted apart; running totals of the pieces join them.
-    By default there are as many as shuffle partitions (8 to 512); ``pieces=1`` suits score tables of a
-    few thousand rows.
-    """
-    by = list(by or [])
-    pieces = pieces or min(512, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    keys = by or ["_all"]
-    seen = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    values = (seen if by else seen.withColumn("_all", F.lit(0))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    if pieces <= 1:
-        run = Window.partitionBy(*keys).orderBy(value).rowsBetween(*_TO_HERE)
-        return values.select(*by, value, "_c", F.sum("_c").over(run).alias("_end"))
-    steps = [i / pieces for i in range(1, pieces)]
-    cuts = sized(values.groupBy(*keys).agg(F.percentile_approx(value, steps, 10 * pieces).alias("_cuts")))
-    placed = values.join(cuts, keys).withColumn(
-        "_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
-    over_pieces = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(*_TO_HERE)
-    starts = (
-        placed.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_n"))
-        .withColumn("_start", F.sum("_n").over(over_pieces) - F.col("_n")).drop("_n")
-    )
-    within = Window.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(*_TO_HERE)
-    joined = placed.join(starts, [*keys, "_piece"])
-    return joined.select(*by, value, "_c", (F.col("_start") + F.sum("_c").over(within)).alias("_end"))
 
+def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Distinct (group, value) with ``_c`` rows of that value, ``_end`` rows up to it and ``_n`` rows in the group; null and NaN are left out.
 
-def average_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None, pieces: int | None = None) -> DataFrame:
+    The input is read once: copies of a value are counted and the counts settled. Their number decides into how many ranges of (group, value)
+    they are dealt, so a large group lies in many ranges. Each range is ordered apart; its start is the sum of what lies before it in its group.
+    """
+    by = list(by or [])
+    keys = [f"_by_{i}" for i in range(len(by))]
+    spot = F.col(value)
+    seen = df.filter(spot.isNotNull() & ~F.isnan(spot.cast("double"))).select(*[F.struct(F.col(c).alias("v")).alias(k) for c, k in zip(by, keys)], spot.alias("_value"))
+    counts = settled(seen.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_c")))
+    ranges = -(-counts.count() // piece_rows)
+    out = lambda rows: rows.select(*[F.col(k)["v"].alias(c) for c, k in zip(by, keys)], F.col("_value").alias(value), "_c", "_end", "_n")
+    if ranges <= 1:
+        whole = Window.partitionBy(*keys)
+        run = whole.orderBy("_value").rowsBetween(*_TO_HERE)
+        return out(counts.withColumns({"_end": F.sum("_c").over(run), "_n": F.sum("_c").over(whole)}))
+    placed = settled(counts.repartitionByRange(ranges, *keys, "_value").withColumn("_piece", F.spark_partition_id()))
+    released(counts)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_rows"))
+    pieces = pieces.select(*keys, "_piece", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"), F.sum("_rows").over(Window.partitionBy(*keys)).alias("_n"))
+    within = Window.partitionBy(*keys, "_piece").orderBy("_value").rowsBetween(*_TO_HERE)
+    met = placed.withColumn("_here", F.sum("_c").over(within)).join(sized(pieces), [*keys, "_piece"])
+    return out(met.withColumn("_end", F.col("_start") + F.col("_here")))
+
+
+def average_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Distinct (group, value) with its 1-based rank, ties averaged; null and NaN values get none."""
-    counted = cumulative_counts(df, value, by, pieces)
+    counted = cumulative_counts(df, value, by, piece_rows)
     return counted.select(*(by or []), value, (F.col("_end") - (F.col("_c") - 1) / 2).alias(out or f"{value}_rank"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None, pieces: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group with ``n`` and the array ``q``.
 
-    Read off the cumulative counts, so no task holds all values of a group.
+    Read off the cumulative counts, so no task holds all values of a group and the input is read once.
     """
     by = list(by or [])
-    counted = cumulative_counts(df, value, by, pieces)
-    if by:
-        sizes = sized(df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
-        counted = counted.join(sizes, by)
-    else:
-        counted = counted.withColumn("n", counted.agg(F.max("_end")).scalar())
+    counted = cumulative_counts(df, value, by, piece_rows).withColumnRenamed("_n", "n")
     at = lambda position: F.min(F.when(F.col("_end") > position, F.col(value)))
     spots = [(F.col("n") - 1) * F.lit(float(p)) for p in probabilities]
     aggs = [a for i, s in enumerate(spots) for a in (at(F.floor(s)).alias(f"_lo{i}"), at(F.ceil(s)).alias(f"_hi{i}"))]

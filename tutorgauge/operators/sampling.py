@@ -64,3 +64,13 @@ def share_by_hash(df: DataFrame, share: float, id_col: str = "id", seed: int = 4
     """About ``share`` of the rows in one pass, usable on a stream."""
     million = 1_000_000
     return df.filter(F.pmod(hash_number(seeded_hash(seed, id_col)), F.lit(million)) < int(share * million))
+
+
+def below_share(df: DataFrame, share: float, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """The rows whose hash lies in the lowest ``share`` of all hashes; a filter, so it works on a stream.
+
+    The order is that of ``shuffle_take``: the first rows of the whole table are the first of these.
+    """
+    if share >= 1:
+        return df
+    return df.filter(F.substring(seeded_hash(seed, id_col), 1, 8) < f"{int(share * (1 << 32)):08x}")

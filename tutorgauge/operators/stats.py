@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tutorgauge.functions.significance import correlation_p, correlation_t
 from tutorgauge.operators.joins import self_pairs, sized
-from tutorgauge.operators.ranking import average_rank, exact_quantiles
+from tutorgauge.operators.ranking import PIECE_ROWS, average_rank, exact_quantiles
 from tutorgauge.operators.scores import weighted_scores
 from tutorgauge.sources.tables import literal_table
 
@@ -27,13 +27,13 @@ def correlation(x: str | Column, y: str | Column) -> Column:
     return F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, pieces: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Rank correlation with averaged ties over rows where both are present: rho, n, t and p per group."""
     by = list(by or [])
     rows = _complete(df.select(*by, x, y), x, y)
     # Both columns are ranked as groups of one table.
     side = lambda name, c: F.struct(F.lit(name).alias("_side"), F.col(c).cast("double").alias("_value"))
-    ranks = average_rank(rows.select(*by, F.inline(F.array(side("x", x), side("y", y)))), "_value", [*by, "_side"], "_rank", pieces)
+    ranks = average_rank(rows.select(*by, F.inline(F.array(side("x", x), side("y", y)))), "_value", [*by, "_side"], "_rank", piece_rows)
     pick = lambda name, c: ranks.filter(F.col("_side") == name).select(*by, F.col("_value").alias(c), F.col("_rank").alias(f"_r{name}"))
     rows = rows.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     ranked = rows.join(pick("x", "_x"), [*by, "_x"]).join(pick("y", "_y"), [*by, "_y"])
@@ -48,7 +48,7 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataF
     return out.withColumns({"t": correlation_t(F.col("r"), F.col("n")), "p": correlation_p(F.col("r"), F.col("n"))})
 
 
-def pair_correlations(df: DataFrame, key: list[str], label: str, labels: list, value: str, pieces: int | None = None) -> DataFrame:
+def pair_correlations(df: DataFrame, key: list[str], label: str, labels: list, value: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Spearman for every pair of labels over the keys both have, as a full matrix.
 
     Labels are a given short list (one per input of the job), so a key's row widens to one
@@ -64,19 +64,19 @@ def pair_correlations(df: DataFrame, key: list[str], label: str, labels: list, v
         return diagonal
     every = literal_table(df.sparkSession, pairs, "model_a string, model_b string")
     long = wide.select(F.inline(F.array(*[pair(a, b) for a, b in pairs])))
-    found = spearman(long, "x", "y", ["model_a", "model_b"], pieces).select("model_a", "model_b", F.when(F.col("n") > 1, F.col("rho")).alias("rho"), "n", "p")
+    found = spearman(long, "x", "y", ["model_a", "model_b"], piece_rows).select("model_a", "model_b", F.when(F.col("n") > 1, F.col("rho")).alias("rho"), "n", "p")
     half = every.join(found, ["model_a", "model_b"], "left")
     mirror = half.select(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), "rho", "n", "p")
     return half.unionByName(mirror).unionByName(diagonal)
 
 
-def against_reference(df: DataFrame, key: str, label: str, value: str, reference: str, pieces: int | None = None) -> DataFrame:
+def against_reference(df: DataFrame, key: str, label: str, value: str, reference: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Spearman of every other label against one reference label over common keys."""
     joined = self_pairs(df, key, label, value, reference)
-    return spearman(joined, value, f"{value}_anchor", [label], pieces).withColumnRenamed("n", "n_teachers")
+    return spearman(joined, value, f"{value}_anchor", [label], piece_rows).withColumnRenamed("n", "n_teachers")
 
 
-def weight_robustness(df: DataFrame, key: list[str], alphas: list[float], intrinsic: str = "z_score", extrinsic: str = "pgr", pieces: int | None = None) -> DataFrame:
+def weight_robustness(df: DataFrame, key: list[str], alphas: list[float], intrinsic: str = "z_score", extrinsic: str = "pgr", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Spearman between the scores under every two weights.
 
     All weights are ranked in one grouped pass; the ranks of a row then stand side by side, and one
@@ -84,7 +84,7 @@ def weight_robustness(df: DataFrame, key: list[str], alphas: list[float], intrin
     """
     rows = _complete(df.select(*key, intrinsic, extrinsic), intrinsic, extrinsic)
     long = weighted_scores(rows, alphas, intrinsic, extrinsic).select(*key, "alpha", "weighted")
-    ranks = long.join(average_rank(long, "weighted", ["alpha"], "_r", pieces), ["alpha", "weighted"])
+    ranks = long.join(average_rank(long, "weighted", ["alpha"], "_r", piece_rows), ["alpha", "weighted"])
     wide = ranks.groupBy(*key).pivot("alpha", [float(a) for a in alphas]).agg(F.first("_r"))
     cols = [f"`{float(a)}`" for a in alphas]
     wanted = list(combinations(range(len(alphas)), 2))
@@ -136,18 +136,18 @@ def binned(value: Column, edges: list[float], labels: list[str]) -> Column:
     return inside
 
 
-def quantile_classes(df: DataFrame, column: str, q: int = 3, out: str = "size_class", pieces: int | None = None) -> DataFrame:
+def quantile_classes(df: DataFrame, column: str, q: int = 3, out: str = "size_class", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Class 0..q-1 by exact quantile over rows, bins closed on the right; equal edges merge."""
-    edges = exact_quantiles(df, column, [i / q for i in range(q + 1)], pieces=pieces).select(F.array_distinct("q")).scalar()
-    work = df.withColumn("_edges", edges)
-    below = F.size(F.filter("_edges", lambda e: e < F.col(column)))
-    return work.withColumn(out, F.when(F.col(column).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_edges")
+    found = exact_quantiles(df, column, [i / q for i in range(q + 1)], piece_rows=piece_rows).select(F.array_distinct("q").alias("q")).first()
+    edges = found["q"] if found else []  # q + 1 numbers: they stand in the plan
+    below = sum((F.when(F.lit(e) < F.col(column), F.lit(1)).otherwise(F.lit(0)) for e in edges), F.lit(0))
+    return df.withColumn(out, F.when(F.col(column).isNotNull(), F.greatest(below - 1, F.lit(0))))
 
 
-def box_stats(df: DataFrame, by: str, value: str, pieces: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, by: str, value: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Exact quartiles, whiskers at 1.5 box lengths and the number of outliers per bin; empty bins are absent."""
     rows = df.filter(F.col(by).isNotNull())
-    q = exact_quantiles(rows, value, [0.25, 0.5, 0.75], [by], pieces)
+    q = exact_quantiles(rows, value, [0.25, 0.5, 0.75], [by], piece_rows)
     q = sized(q.select(by, "n", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))]))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)

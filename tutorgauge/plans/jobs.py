@@ -11,6 +11,7 @@ from tutorgauge.functions.text import chat_messages, chat_text, p_text
 from tutorgauge.operators import filters, metrics, models, reports, sampling, scores, stats, synthesis
 from tutorgauge.operators.joins import settled
 from tutorgauge.sources import dims, documents, seeds, tables
+from tutorgauge.streaming.jobs import append_stream, streamed_sample
 
 
 def build_seed(raw: dict[str, DataFrame], path: str, n: int, seed: int = 42, include=None, exclude=None) -> DataFrame:
@@ -84,6 +85,18 @@ def intrinsic_report(
     return metrics.metric_table(rows, by, names, params).join(sizes, by)
 
 
+def streamed_seeds(raw: DataFrame, source: str, path: str, progress: str, n: int | None = None, seed: int = 42, share: float = 1.0) -> DataFrame:
+    """Seeds of one corpus that arrives as a stream, equal to the normaliser of the finished corpus.
+
+    Corpora without a sample are filtered and projected inside the stream. Of sampled ones the stream keeps the lowest ``share``
+    of hashes of the rows that can be drawn; the sample has its exact size by a cutoff on what was kept.
+    """
+    if source not in seeds.SAMPLED:
+        return append_stream(seeds.SOURCES[source](raw, n, seed), path, progress)
+    drawable, key = seeds.SAMPLED[source]
+    return seeds.SOURCES[source](streamed_sample(drawable(raw), n, key, seed, share, path, progress), n, seed)
+
+
 def extrinsic_results(dumps: DataFrame, tag: str, keep: str = "first") -> DataFrame:
     """Benchmark dumps (dataset, run, results) as one row per dataset and task."""
     tasks = documents.exploded_results(dumps)
@@ -149,14 +162,14 @@ def base_model_effect(df: DataFrame, languages: list[str], bases: list[str], ref
     means = base_model_scores(df, languages)
     return {
         "table": reports.teacher_by_base(means, bases),
-        "correlations": stats.pair_correlations(means, ["teacher_model"], "base_model", bases, "pg_score", pieces=1),
-        "against_reference": stats.against_reference(means, "teacher_model", "base_model", "pg_score", reference, pieces=1),
+        "correlations": stats.pair_correlations(means, ["teacher_model"], "base_model", bases, "pg_score"),
+        "against_reference": stats.against_reference(means, "teacher_model", "base_model", "pg_score", reference),
         "summary": reports.teacher_summary(means),
         "rankings": reports.ranking_frequency(means),
     }
 
 
-def language_resource_effect(df: DataFrame, prop: str = "pct_commoncrawl", pieces: int | None = None) -> dict[str, DataFrame]:
+def language_resource_effect(df: DataFrame, prop: str = "pct_commoncrawl") -> dict[str, DataFrame]:
     """Scores against how well resourced a language is: bins, box statistics, correlation over languages."""
     rows = filters.without_missing(dims.with_dimensions(df), [prop])
     if prop in fv.RESOURCE_BINS:
@@ -167,9 +180,9 @@ def language_resource_effect(df: DataFrame, prop: str = "pct_commoncrawl", piece
     rows = rows.withColumn("resource_bin", level)
     means = reports.first_and_mean(rows, "target_lang", prop)
     return {
-        "boxes": stats.box_stats(rows, "resource_bin", "pg_score", pieces),
+        "boxes": stats.box_stats(rows, "resource_bin", "pg_score"),
         "languages": means,
-        "correlation": stats.spearman(means, prop, "pg_score", pieces=1).withColumn("p_text", p_text(F.col("p"))),
+        "correlation": stats.spearman(means, prop, "pg_score").withColumn("p_text", p_text(F.col("p"))),
     }
 
 
@@ -261,7 +274,7 @@ def quality_against_benchmark(quality: DataFrame, bench: DataFrame, score: str,
     return {
         "rows": rows,
         "pearson": stats.pearson(rows, score, "z_score", ["language"]),
-        "spearman": stats.spearman(rows, score, "z_score", ["language"], pieces=1),
+        "spearman": stats.spearman(rows, score, "z_score", ["language"]),
         "line": stats.linear_fit(rows, score, "z_score", ["language"]),
     }
 

@@ -203,6 +203,15 @@ def _(t):
     return reports.distinct_counts(t.v_orders, ["teacher_model", "target_lang", "id"], approximate=True)
 
 
+@query("a10_approximate_error", "SELECT true AS teacher_model, true AS target_lang, true AS id")
+def _(t):
+    """Sketched counts next to exact ones: off by no more than three standard errors of 5 %."""
+    columns = ["teacher_model", "target_lang", "id"]
+    exact, sketched = reports.distinct_counts(t.v_orders, columns), reports.distinct_counts(t.v_orders, columns, approximate=True)
+    both = exact.withColumn("k", F.lit(0)).join(sketched.select(*[F.col(c).alias(f"{c}_s") for c in columns]).withColumn("k", F.lit(0)), "k")
+    return both.select(*[(F.abs(F.col(c) - F.col(f"{c}_s")) <= 0.15 * F.col(c)).alias(c) for c in columns])
+
+
 @query(
     "a11_row_mean",
     "SELECT l_orderkey, l_linenumber, l_partkey, round((q + p + x) / 3, 6) AS three, round(CASE WHEN l_returnflag = 'A' THEN x ELSE (q + x) / 2 END, 6) AS some FROM "

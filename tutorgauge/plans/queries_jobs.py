@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from tutorgauge import fixed_values as fv
 from tutorgauge.functions.text import marked_rho, token_count
-from tutorgauge.operators import models, scores, stats
+from tutorgauge.operators import mergeable, models, sampling, scores, stats
 from tutorgauge.plans import jobs
 from tutorgauge.plans.catalog import query, r
 from tutorgauge.plans.queries_columns import DRAWN, EXAMPLES, SQL_TOKENS, sql_fill, sql_text, wide_sql
 from tutorgauge.plans.queries_groups import HASH, quota_sql, ranked
-from tutorgauge.plans.queries_metrics import PAIRS, PG, SCORED, Z_SCORE
-from tutorgauge.plans.queries_sources import SEED_COUNTS, ablation_documents, dumps, literal_languages, literal_models, metric_documents, raw_corpora
+from tutorgauge.plans.queries_metrics import LOSS_MEAN, M3, PAIRS, PG, SCORED, Z_SCORE, judged_sql, report_rows
+from tutorgauge.plans.queries_sources import (
+    N1_SQL, N3_SQL, N5_SQL, N6_SQL, N7_SQL, SEED_COUNTS, ablation_documents, dumps, flat, literal_languages, literal_models, metric_documents, raw_aya,
+    raw_corpora, raw_euroblocks, raw_magpie, raw_oasst, raw_wildchat_ja,
+)
 from tutorgauge.plans.queries_stats import CELL, P_SQL, QUARTILES, rank_sql
 from tutorgauge.plans.views import LANGS, TAG
 from tutorgauge.session import new_folder
@@ -140,6 +143,83 @@ def _(t):
     return streaming.running_distinct_ri(stream, ["label"], "embedding", out, progress).select("label", "n", r("distinct_ri"))
 
 
+def in_batches(t, df, name: str, run):
+    """Streams a table in two runs with a restart between them: half of its files are there at first, the rest come later, one file a batch."""
+    source, (out, progress) = new_folder(t.spark, f"{name}-in"), streaming.stream_run(t.spark, name)
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    for part in (0, 1):
+        df.filter(half == part).repartition(2).write.mode("append").parquet(source)
+        got = run(streaming.file_stream(t.spark, source, df.schema, 1), out, progress)
+    return got
+
+
+BY = ["model", "language"]
+
+
+@query("l7_streamed_perplexity", f"SELECT model, language, round(avg({LOSS_MEAN}), 6) AS average_perplexity, count({LOSS_MEAN}) AS num_valid_samples, count(*) - count({LOSS_MEAN}) AS num_nan_values, count(*) AS total_samples FROM v_report GROUP BY 1, 2")
+def _(t):
+    got = in_batches(t, report_rows(t), "l7p", lambda s, out, progress: streaming.running(s, BY, [mergeable.perplexity_stat()], out, progress))
+    return got.withColumn("average_perplexity", r("average_perplexity"))
+
+
+@query("l7_streamed_rubric", f"SELECT model, language, round(avg(score), 6) AS average_rubric_score, {M3}, count(*) FILTER (WHERE NOT valid) AS n_invalid, count(*) AS n_judged FROM {judged_sql('v_report')} GROUP BY 1, 2")
+def _(t):
+    got = in_batches(t, report_rows(t), "l7j", lambda s, out, progress: streaming.running(s, BY, [mergeable.rubric_stat()], out, progress))
+    return got.withColumn("average_rubric_score", r("average_rubric_score"))
+
+
+@query("l7_streamed_lengths", f"SELECT model, language, round(avg({SQL_TOKENS.format(c='prompt')}), 6) AS prompts_average_length, round(avg({SQL_TOKENS.format(c='response')}), 6) AS responses_average_length FROM v_report GROUP BY 1, 2")
+def _(t):
+    got = in_batches(t, report_rows(t), "l7n", lambda s, out, progress: streaming.running(s, BY, [mergeable.length_stat()], out, progress))
+    return got.select("model", "language", r("prompts_average_length"), r("responses_average_length"))
+
+
+def streamed_corpus(t, raw, source: str, n=None, share: float = 1.0):
+    """A corpus as a stream, a file a batch, through its normaliser."""
+    at, (out, progress) = new_folder(t.spark, "corpus"), streaming.stream_run(t.spark, "seeds")
+    raw.repartition(3).write.parquet(at)
+    return flat(jobs.streamed_seeds(streaming.file_stream(t.spark, at, raw.schema, 1), source, out, progress, n, 42, share))
+
+
+@query("n1_streamed_wildchat", N1_SQL)
+def _(t):
+    return streamed_corpus(t, raw_wildchat_ja(t), fv.WILDCHAT, 150)
+
+
+@query("n3_streamed_magpie", N3_SQL)
+def _(t):
+    return streamed_corpus(t, raw_magpie(t), fv.MAGPIE, 120)
+
+
+@query("n6_streamed_euroblocks", N6_SQL)
+def _(t):
+    return streamed_corpus(t, raw_euroblocks(t), fv.EUROBLOCKS, 60)
+
+
+@query("n5_streamed_oasst", N5_SQL)
+def _(t):
+    return streamed_corpus(t, raw_oasst(t), fv.OASST)
+
+
+@query("n7_streamed_aya", N7_SQL)
+def _(t):
+    return streamed_corpus(t, raw_aya(t), fv.AYA)
+
+
+@query("t5_streamed_share", "SELECT doc_id FROM documents WHERE ('0x' || substr(md5(concat('42|', CAST(doc_id AS VARCHAR))), 1, 15))::BIGINT % 1000000 < 300000")
+def _(t):
+    out, progress = streaming.stream_run(t.spark, "t5")
+    stream = streaming.file_stream(t.spark, f"{t.folder}/documents*.parquet", t.documents.schema)
+    return streaming.append_stream(sampling.share_by_hash(stream, 0.3, "doc_id").select("doc_id"), out, progress)
+
+
+@query("t5_streamed_sample", f"SELECT o_orderkey FROM orders ORDER BY {HASH.format(id='o_orderkey')} LIMIT 250")
+def _(t):
+    out, progress = streaming.stream_run(t.spark, "t5")
+    stream = streaming.file_stream(t.spark, f"{t.folder}/orders*.parquet", t.orders.schema).select("o_orderkey")
+    return streaming.streamed_sample(stream, 250, "o_orderkey", 42, 0.5, out, progress)
+
+
 CHAT_SQL = "concat('<start_of_turn>user', chr(10), trim(prompt), '<end_of_turn>', chr(10), '<start_of_turn>model', chr(10), trim(response), '<end_of_turn>', chr(10))"
 DRAWN_SFT = f"(SELECT x.* FROM {ranked('v_sft', 'strategy', 'id')} x JOIN {quota_sql('v_sft', 'strategy', 100)} q ON x.strategy = q.strategy WHERE x.rn <= quota)"
 
@@ -204,7 +284,7 @@ L11 = f"(SELECT a.alpha AS a, b.alpha AS b, CASE WHEN a.alpha = b.alpha THEN 1 E
 
 @query("l11_weight_robustness", f"SELECT a AS alpha_a, b AS alpha_b, round(rho, 6) AS rho, {CELL} AS cell FROM (SELECT *, {P_SQL} AS p FROM {L11})")
 def _(t):
-    got = stats.weight_robustness(t.v_teacher_scores, ["teacher_model", "target_lang"], fv.ALPHAS, pieces=1)
+    got = stats.weight_robustness(t.v_teacher_scores, ["teacher_model", "target_lang"], fv.ALPHAS)
     return got.select("alpha_a", "alpha_b", r("rho"), marked_rho(F.col("rho"), F.col("p"), F.col("alpha_a") == F.col("alpha_b")).alias("cell"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tutorgauge import fixed_values as fv
 from tutorgauge.functions.text import token_count, tokens
-from tutorgauge.operators import evals, metrics, scores
+from tutorgauge.operators import mergeable, evals, metrics, scores
 from tutorgauge.plans import jobs
 from tutorgauge.plans.catalog import query, r
 from tutorgauge.plans.queries_groups import FALLBACK, quota_sql, ranked
@@ -101,6 +101,10 @@ VALID = (
     "(SELECT *, coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END, '$.score') IN ('UBIGINT', 'BIGINT') AND json_type(CASE WHEN json_valid(raw) THEN raw END, '$.feedback') = 'VARCHAR' "
     "AND (CASE WHEN json_valid(raw) THEN raw END ->> '$.score')::DOUBLE BETWEEN 1 AND 5, false) AS valid FROM v_judged)"
 )
+def judged_sql(view: str) -> str:
+    return f"(SELECT *, CASE WHEN valid THEN (raw ->> '$.score')::INT ELSE 1 END AS score FROM {VALID.replace('v_judged', view)})"
+
+
 SCORED = f"(SELECT *, CASE WHEN valid THEN (raw ->> '$.score')::INT ELSE 1 END AS score FROM {VALID})"
 
 
@@ -138,6 +142,67 @@ def _(t):
     return got.select("language", r("texts_average_length"), "num_samples")
 
 
+COSINES = (
+    "(SELECT a.model, a.language, avg(CASE WHEN a.p1 = 0 AND a.p2 = 0 OR b.p1 = 0 AND b.p2 = 0 THEN 0 ELSE (a.p1 * b.p1 + a.p2 * b.p2) / (sqrt(a.p1 ** 2 + a.p2 ** 2) * sqrt(b.p1 ** 2 + b.p2 ** 2)) END) AS pc, "
+    "avg(CASE WHEN a.r1 = 0 AND a.r2 = 0 OR b.r1 = 0 AND b.r2 = 0 THEN 0 ELSE (a.r1 * b.r1 + a.r2 * b.r2) / (sqrt(a.r1 ** 2 + a.r2 ** 2) * sqrt(b.r1 ** 2 + b.r2 ** 2)) END) AS rc "
+    "FROM v_report a JOIN v_report b ON a.model = b.model AND a.language = b.language AND a.id <> b.id GROUP BY ALL)"
+)
+LOSS_MEAN = "exp(list_avg(list_transform(regexp_extract_all(response, '\\S+'), lambda w: ln(length(w) + 1) + 0.25)))"
+
+
+def report_rows(t):
+    """Rows that carry the input of every intrinsic metric."""
+    word = lambda w: F.log(F.length(w) + F.lit(1.0)) + 0.25
+    losses = F.transform(F.concat(tokens(F.col("prompt")), tokens(F.col("response"))), word)
+    return t.v_report.select(
+        "id", "model", "language", "prompt", "response", "raw", F.array("p1", "p2").alias("prompt_embedding"), F.array("r1", "r2").alias("response_embedding"),
+        losses.alias("losses"), token_count(F.col("prompt")).alias("prompt_length"),
+    )
+
+
+@query(
+    "m5_full_report",
+    f"SELECT j.model, j.language, round(1 - any_value(c.pc), 6) AS prompts_distinct_ri, round(1 - any_value(c.rc), 6) AS responses_distinct_ri, round(avg({SQL_TOKENS.format(c='prompt')}), 6) AS prompts_average_length, "
+    f"round(avg({SQL_TOKENS.format(c='response')}), 6) AS responses_average_length, round(avg({LOSS_MEAN}), 6) AS average_perplexity, count(*) FILTER (WHERE {LOSS_MEAN} IS NULL) AS num_nan_values, "
+    f"round(avg(score), 6) AS average_rubric_score, {M3}, count(*) FILTER (WHERE NOT valid) AS n_invalid, count(*) AS n_judged, count(*) AS num_samples "
+    f"FROM {judged_sql('v_report')} j LEFT JOIN {COSINES} c ON j.model = c.model AND j.language = c.language GROUP BY 1, 2",
+)
+def _(t):
+    got = jobs.intrinsic_report(report_rows(t), ["model", "language"], ["all"])
+    rounded = ["prompts_distinct_ri", "responses_distinct_ri", "prompts_average_length", "responses_average_length", "average_perplexity", "average_rubric_score"]
+    return got.withColumns({c: r(c) for c in rounded})
+
+
+def log_length_stat(column: str = "n_chars") -> mergeable.Mergeable:
+    """A user's own statistic: geometric mean and log-variance of a length, from three sums."""
+    x = F.log(F.col(column) + 1.0)
+    mean = F.col("_log_s") / F.col("_log_n")
+    return mergeable.Mergeable(
+        lambda df: df,
+        {"_log_n": F.count(column), "_log_s": F.sum(x), "_log_q": F.sum(x * x)},
+        {"geometric_mean": F.exp(mean) - 1, "log_variance": F.greatest(F.col("_log_q") / F.col("_log_n") - mean * mean, F.lit(0.0))},
+    )
+
+
+@query("m5_user_statistic", "SELECT lang, source, round(exp(avg(ln(n_chars + 1e0))) - 1, 4) AS geometric_mean, round(var_pop(ln(n_chars + 1e0)), 6) + 0e0 AS log_variance FROM documents GROUP BY ALL")
+def _(t):
+    got = mergeable.evaluated(t.documents, ["lang", "source"], [log_length_stat()])
+    return got.select("lang", "source", r("geometric_mean", digits=4), r("log_variance"))
+
+
+@query("m5_group_statistic", "SELECT target_lang, task, median(result) AS middle, round(mad(result), 6) AS spread, count(*) AS n FROM v_evals GROUP BY ALL")
+def _(t):
+    def middle(group):
+        import pandas as pd
+
+        m = group["result"].median()
+        return pd.DataFrame({"target_lang": group["target_lang"].head(1), "task": group["task"].head(1), "middle": m, "spread": (group["result"] - m).abs().median(), "n": len(group)})
+
+    rows = t.v_evals.select("target_lang", "task", "result")
+    got = mergeable.grouped_pandas(rows, ["target_lang", "task"], middle, "target_lang string, task string, middle double, spread double, n long", max_rows=5_000_000)
+    return got.withColumn("spread", r("spread"))
+
+
 def z(column: str, value: str | None = None) -> str:
     v = value or column
     return f"({v} - avg({v}) OVER ()) / stddev_pop({v}) OVER ()"
@@ -296,3 +361,21 @@ def _(t):
 def _(t):
     parts = t.v_evals.groupBy(F.concat_ws(":", "task", "eval_lang").alias("task")).agg(F.avg("result").alias("acc"), F.avg("result_stderr").alias("acc_stderr"))
     return evals.macro_average(parts).select("task", r("acc"), r("acc_stderr"))
+
+
+MEMBERS = [("view", "Chat", 1.0), ("click", "Chat", 2.0), ("click", "Safety", 0.5), ("purchase", "Safety", 3.0), ("signup", "Reasoning", 1.0), ("never_run", "Reasoning", 2.0), ("never_run_too", "Coding", 1.0)]
+MEMBER_SQL = "(VALUES " + ", ".join(f"('{s}', '{c}', {w}::DOUBLE)" for s, c, w in MEMBERS) + ") AS c(task, category, weight)"
+
+
+@query(
+    "e6_category_rollup",
+    f"WITH members AS (SELECT * FROM {MEMBER_SQL}), each AS (SELECT target_lang, task, avg(result) AS acc FROM v_evals GROUP BY 1, 2) "
+    "SELECT target_lang, 'task' AS level, task AS name, round(acc, 6) AS acc, 1::BIGINT AS n_tasks, 0::BIGINT AS n_missing FROM each "
+    "UNION ALL SELECT target_lang, 'category', category, round(sum(weight * acc) / sum(weight), 6), count(*), (SELECT count(*) FROM members m WHERE m.category = c.category) - count(*) FROM each JOIN members c USING (task) GROUP BY target_lang, category "
+    "UNION ALL SELECT target_lang, 'all', 'all', round(avg(acc), 6), count(*), (SELECT count(DISTINCT task) FROM members) - count(*) FILTER (WHERE task IN (SELECT task FROM members)) FROM each GROUP BY target_lang",
+)
+def _(t):
+    """A task in two categories, one in none, members that were never run."""
+    members = literal_table(t.spark, MEMBERS, "task string, category string, weight double")
+    got = evals.category_rollup(t.v_evals, members, ["target_lang"], value="result")
+    return got.select("target_lang", "level", "name", r("result", "acc"), "n_tasks", "n_missing")

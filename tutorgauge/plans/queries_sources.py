@@ -10,6 +10,7 @@ from tutorgauge.operators import metrics, reports
 from tutorgauge.plans.catalog import query, r
 from tutorgauge.plans.views import LANG_NAMES, TAG, case
 from tutorgauge.session import new_folder
+from tutorgauge.sources.metric_store import store_metrics
 from tutorgauge.sources import dims, documents, seeds, tables
 from tutorgauge.streaming import jobs as streaming
 
@@ -219,6 +220,32 @@ def _(t):
     return metrics.upsert_metrics(old, long, ["language", "model", "metric"], overwrite=True).select("language", "model", "metric", r("value"))
 
 
+def stored(t, overwrite: bool):
+    """Two metrics of every run into a store that already holds one of them for German, and an older one."""
+    keys = ["language", "model", "metric"]
+    path = new_folder(t.spark, "s18")
+    long = metrics.metric_rows(t.v_intrinsic.select("language", "model", "rubric_score", "perplexity"), keys[:2])
+    german = long.filter("metric = 'perplexity' and language = 'de'").withColumn("value", F.lit(-1.0))
+    store_metrics(german.unionByName(german.withColumn("metric", F.lit("old_metric"))), path, keys, "language")
+    return store_metrics(long, path, keys, "language", overwrite).select(*keys, r("value"))
+
+
+STORED = (
+    "SELECT language, model, 'rubric_score' AS metric, round(rubric_score, 6) AS value FROM v_intrinsic UNION ALL SELECT language, model, 'old_metric', -1 FROM v_intrinsic WHERE language = 'de' UNION ALL "
+    "SELECT language, model, 'perplexity', round({perplexity}, 6) FROM v_intrinsic"
+)
+
+
+@query("s18_metric_store", STORED.format(perplexity="CASE WHEN language = 'de' THEN -1 ELSE perplexity END"))
+def _(t):
+    return stored(t, False)
+
+
+@query("s18_metric_store_overwrite", STORED.format(perplexity="perplexity"))
+def _(t):
+    return stored(t, True)
+
+
 @query("s19_missing_languages", "SELECT doc_id, lang AS language, CASE WHEN lang IN ('de', 'fr') THEN 'first' ELSE 'second' END AS written FROM documents")
 def _(t):
     path = new_folder(t.spark, "s19")
@@ -286,11 +313,11 @@ WILDCHAT_SEED = (
 )
 
 
-@query(
-    "n1_wildchat",
-    seed_sql(fv.WILDCHAT, "generate,respond", "prompt", "response", "language", "h",
-             "FROM " + WILDCHAT_SEED.replace("@ROWS", "150")),
-)
+N1_SQL = seed_sql(fv.WILDCHAT, "generate,respond", "prompt", "response", "language", "h",
+         "FROM " + WILDCHAT_SEED.replace("@ROWS", "150"))
+
+
+@query("n1_wildchat", N1_SQL)
 def _(t):
     return flat(seeds.wildchat(raw_wildchat_ja(t), 150, 42))
 
@@ -320,10 +347,10 @@ def raw_magpie(t):
     return t.v_pairs.select(F.col("id").cast("string").alias("uuid"), talk.alias("conversations"))
 
 
-@query(
-    "n3_magpie",
-    seed_sql(fv.MAGPIE, "translate", "prompt", "response", "'en'", "CAST(id AS VARCHAR)", "FROM (SELECT * FROM v_pairs ORDER BY md5(concat('42|', CAST(id AS VARCHAR))) LIMIT 120)"),
-)
+N3_SQL = seed_sql(fv.MAGPIE, "translate", "prompt", "response", "'en'", "CAST(id AS VARCHAR)", "FROM (SELECT * FROM v_pairs ORDER BY md5(concat('42|', CAST(id AS VARCHAR))) LIMIT 120)")
+
+
+@query("n3_magpie", N3_SQL)
 def _(t):
     return flat(seeds.magpie(raw_magpie(t), 120, 42))
 
@@ -362,11 +389,11 @@ def raw_oasst(t):
     )
 
 
-@query(
-    "n5_oasst",
-    seed_sql(fv.OASST, "respond", "text", "''", "language", "concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR))",
-             f"FROM (SELECT *, {case('conv_id % 6', CODES)} AS language FROM conversations) WHERE role = 'user' AND language <> 'en'"),
-)
+N5_SQL = seed_sql(fv.OASST, "respond", "text", "''", "language", "concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR))",
+         f"FROM (SELECT *, {case('conv_id % 6', CODES)} AS language FROM conversations) WHERE role = 'user' AND language <> 'en'")
+
+
+@query("n5_oasst", N5_SQL)
 def _(t):
     return flat(seeds.oasst(raw_oasst(t)))
 
@@ -384,11 +411,11 @@ EUROBLOCKS_SEED = (
 )
 
 
-@query(
-    "n6_euroblocks",
-    seed_sql(fv.EUROBLOCKS, "generate,respond", "prompt", "response", "language", "md5(prompt)",
-             f"FROM {EUROBLOCKS_SEED} 60"),
-)
+N6_SQL = seed_sql(fv.EUROBLOCKS, "generate,respond", "prompt", "response", "language", "md5(prompt)",
+         f"FROM {EUROBLOCKS_SEED} 60")
+
+
+@query("n6_euroblocks", N6_SQL)
 def _(t):
     return flat(seeds.euroblocks(raw_euroblocks(t), 60, 42))
 
@@ -403,11 +430,11 @@ def raw_aya(t):
     )
 
 
-@query(
-    "n7_aya",
-    seed_sql(fv.AYA, "generate,respond", "text", "concat('re: ', src)", "language", "CAST(doc_id AS VARCHAR)",
-             f"FROM (SELECT doc_id, text, source AS src, {case('doc_id % 6', ISO1)} AS language FROM documents) WHERE language NOT IN ('fr', 'fil')"),
-)
+N7_SQL = seed_sql(fv.AYA, "generate,respond", "text", "concat('re: ', src)", "language", "CAST(doc_id AS VARCHAR)",
+         f"FROM (SELECT doc_id, text, source AS src, {case('doc_id % 6', ISO1)} AS language FROM documents) WHERE language NOT IN ('fr', 'fil')")
+
+
+@query("n7_aya", N7_SQL)
 def _(t):
     return flat(seeds.aya(raw_aya(t)))
 

@@ -52,7 +52,7 @@ def _(t):
 
 @query("x1_spearman_p", f"SELECT round(rho, 6) AS rho, n, round({P_SQL}, 6) AS p FROM (SELECT corr(rx, ry) AS rho, count(*) AS n FROM (SELECT *, {rank_sql('z_score')} AS rx, {rank_sql('pgr')} AS ry FROM v_teacher_scores))")
 def _(t):
-    return stats.spearman(t.v_teacher_scores, "z_score", "pgr", pieces=1).select(r("rho"), "n", r("p"))
+    return stats.spearman(t.v_teacher_scores, "z_score", "pgr").select(r("rho"), "n", r("p"))
 
 
 def pairs_sql(marked: bool = False) -> str:
@@ -67,13 +67,13 @@ def pairs_sql(marked: bool = False) -> str:
 
 @query("x2_pair_correlations", pairs_sql())
 def _(t):
-    got = stats.pair_correlations(means(t), ["teacher_model"], "base_model", BASES, "pg_score", pieces=1)
+    got = stats.pair_correlations(means(t), ["teacher_model"], "base_model", BASES, "pg_score")
     return got.select("model_a", "model_b", r("rho"))
 
 
 @query("x2_marked_matrix", pairs_sql(marked=True))
 def _(t):
-    got = stats.pair_correlations(means(t), ["teacher_model"], "base_model", BASES, "pg_score", pieces=1)
+    got = stats.pair_correlations(means(t), ["teacher_model"], "base_model", BASES, "pg_score")
     return got.select("model_a", "model_b", marked_rho(F.col("rho"), F.col("p"), F.col("model_a") == F.col("model_b")).alias("cell"))
 
 
@@ -82,7 +82,7 @@ X3 = f"(SELECT b.base_model, a.pg_score AS x, b.pg_score AS y FROM {MEANS} a JOI
 
 @query("x3_against_reference", f"SELECT base_model, round(corr(rx, ry), 6) + 0e0 AS rho, count(*) AS n_teachers FROM (SELECT *, {rank_sql('x', 'base_model')} AS rx, {rank_sql('y', 'base_model')} AS ry FROM {X3}) GROUP BY base_model")
 def _(t):
-    got = stats.against_reference(means(t), "teacher_model", "base_model", "pg_score", "view", pieces=1)
+    got = stats.against_reference(means(t), "teacher_model", "base_model", "pg_score", "view")
     return got.select("base_model", r("rho"), "n_teachers")
 
 
@@ -190,6 +190,60 @@ def _(t):
     return got.select("predictor", r("beta", digits=4), r("se", digits=4), r("aic", digits=2), r("bic", digits=2))
 
 
+BALANCED = (
+    "WITH rows AS (SELECT event_id // 10 AS g, (event_id % 10) - 4.5e0 AS x, value * (1 + (event_id // 10) % 4) AS y FROM events WHERE event_id < 10 * (SELECT count(*) // 10 FROM events)), "
+    "line AS (SELECT sum(x * y) / sum(x * x) AS beta, sum(x * x) AS sxx, count(*) AS n, count(DISTINCT g) AS k FROM rows), "
+    "parts AS (SELECT (SELECT sum((m - a) ** 2) * 10 FROM (SELECT avg(y) AS m FROM rows GROUP BY g), (SELECT avg(y) AS a FROM rows)) AS between_, "
+    "(SELECT sum((y - m) ** 2) FROM (SELECT y, avg(y) OVER (PARTITION BY g) AS m FROM rows)) AS within_), "
+    "fit AS (SELECT *, (within_ - beta * beta * sxx) / (n - k - 1) AS msw, between_ / (k - 1) AS msb FROM line, parts), "
+    "known AS (SELECT beta, sxx, greatest((msb / msw - 1) / 10, 0) AS ratio, CASE WHEN msb > msw THEN msw ELSE (between_ + within_ - beta * beta * sxx) / (n - 2) END AS sigma2 FROM fit) "
+    "SELECT 'x' AS predictor, round(beta, 5) + 0e0 AS beta, round(sqrt(sigma2 / sxx), 5) AS se, round(beta / sqrt(sigma2 / sxx), 3) + 0e0 AS t, round(ratio, 4) AS ratio FROM known"
+)
+
+
+@query("x12_equal_groups", BALANCED)
+def _(t):
+    """Groups of one size with a predictor that is balanced in each: the fit has a closed form (one-way analysis of variance)."""
+    tens = F.floor(F.col("event_id") / 10)
+    rows = t.events.select(tens.alias("g"), (F.pmod("event_id", F.lit(10)) - 4.5).alias("x"), (F.col("value") * (1 + F.pmod(tens, F.lit(4)))).alias("y"), "event_id")
+    whole = t.events.agg((F.floor(F.count(F.lit(1)) / 10) * 10).alias("n")).scalar()
+    got = models.random_intercept(rows.filter(F.col("event_id") < whole), "y", ["x"], "g")
+    return got.select("predictor", r("beta", digits=5), r("se", digits=5), r("t", digits=3), r("ratio", digits=4))
+
+
+TWO = ["prompts_distinct_ri", "responses_distinct_ri"]
+
+
+@query("x9_two_components", "SELECT i AS component, round((1 + (3 - 2 * i) * abs(c)) / 2, 6) AS ratio, round(CASE i WHEN 1 THEN (1 + abs(c)) / 2 ELSE 1 END, 6) AS cumulative FROM (SELECT corr(l_quantity, l_extendedprice) AS c FROM lineitem), (VALUES (1::INT), (2::INT)) AS v(i)")
+def _(t):
+    """Two standardised features: the components explain (1 ± |r|) / 2."""
+    rows = features(t)
+    return models.Components(rows, TWO).variance_table(rows).select("component", r("ratio"), r("cumulative"))
+
+
+LABEL = "(l_extendedprice * (1 - l_discount) / 1000 + l_tax * 100 + l_orderkey % 97)"
+TWO_FIT = (
+    f"(SELECT corr(l_quantity, {LABEL}) AS a, corr(l_extendedprice, {LABEL}) AS b, corr(l_quantity, l_extendedprice) AS c, stddev_pop({LABEL}) AS sd FROM lineitem)"
+)
+
+
+@query("x10_two_predictors", f"SELECT 'linear' AS model, round((a * a + b * b - 2 * a * b * c) / (1 - c * c), 6) AS r2, round(sd * sqrt(1 - (a * a + b * b - 2 * a * b * c) / (1 - c * c)), 4) AS rmse, true AS best FROM {TWO_FIT}")
+def _(t):
+    """A linear fit on two components is the least-squares fit on the two features: its R² follows from three correlations."""
+    return models.comparison(models.Components(features(t), TWO).scores(), "result", ["linear"]).select("model", r("r2"), r("rmse", digits=4), "best")
+
+
+@query("x11_order_of_fits", "SELECT true AS ridge_below_linear, true AS lasso_below_linear, true AS quadratic_above_linear, true AS one_best, true AS all_within_0_and_1")
+def _(t):
+    """What must hold of in-sample fits whatever the data: a penalty costs R², more terms do not, one model is marked as the best."""
+    got = models.comparison(models.Components(features(t)).scores(), "result", ["linear", "ridge", "lasso", "quadratic"])
+    r2 = lambda kind: F.max(F.when(F.col("model") == kind, F.col("r2")))
+    return got.agg(
+        (r2("ridge") <= r2("linear") + 1e-9).alias("ridge_below_linear"), (r2("lasso") <= r2("linear") + 1e-9).alias("lasso_below_linear"),
+        (r2("quadratic") >= r2("linear") - 1e-9).alias("quadratic_above_linear"), (F.count_if("best") == 1).alias("one_best"), F.every(F.col("r2").between(0, 1)).alias("all_within_0_and_1"),
+    )
+
+
 @query(
     "x13_bins",
     "SELECT event_id, CASE WHEN value <= 1 THEN '<1%' WHEN value <= 2 THEN '1-2%' WHEN value <= 5 THEN '2-5%' WHEN value <= 10 THEN '>5%' END AS bin FROM events",

@@ -97,6 +97,13 @@ VIEWS: dict[str, str] = {
         "ELSE concat('{{\"score\":', cast(1 + 3 * l.quality + l.doc_id % 2 AS string), ',\"feedback\":\"ok\"}}') END AS raw "
         "FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id"
     ),
+    # Conversation pairs with what all four intrinsic metrics read: two numbers stand in for each embedding.
+    "v_report": (
+        "SELECT id, model, language, prompt, response, cast(length(prompt) % 7 - 3 AS double) AS p1, cast(length(prompt) % 5 - 2 AS double) AS p2, "
+        "cast(length(response) % 9 - 4 AS double) AS r1, cast(length(response) % 4 - 1 AS double) AS r2, "
+        "CASE WHEN id % 13 = 5 THEN 'oops' WHEN id % 13 = 7 THEN concat('{{\"score\":', cast(1 + id % 9 AS string), ',\"feedback\":\"ok\"}}') "
+        "ELSE concat('{{\"score\":', cast(1 + id % 5 AS string), ',\"feedback\":\"ok\"}}') END AS raw FROM {v_sft}"
+    ),
     # One benchmark run per event, with the names and numbers its JSON cell is made of.
     "v_runs": (
         "SELECT event_id, concat('acct/details_sft-allenai_Olmo-3-1025-7B', "

@@ -69,11 +69,16 @@ def oasst(raw: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
     return _seed(kept, fv.OASST, RESPOND, F.col("text"), F.lit(""), F.col("lang"), F.col("message_id"))
 
 
+def euroblocks_rows(raw: DataFrame) -> DataFrame:
+    """Known languages and no rows taken over from Magpie, with the hash of the conversation as ``_key``."""
+    kept = raw.filter(F.col("language").isin(*fv.LANGUAGE_CODES) & ~F.col("dataset").contains("Magpie"))
+    return kept.withColumn("_key", F.md5(F.to_json("conversations")))
+
+
 def euroblocks(raw: DataFrame, n: int, seed: int) -> DataFrame:
-    """Known languages and no rows taken over from Magpie; sampled after that filter."""
+    """The rows that can be drawn, sampled, as seeds."""
     talk = F.col("conversations")
-    kept = raw.filter(F.col("language").isin(*fv.LANGUAGE_CODES) & ~F.col("dataset").contains("Magpie"))
-    kept = first_by_hash(kept.withColumn("_key", F.md5(F.to_json("conversations"))), n, "_key", seed)
+    kept = first_by_hash(euroblocks_rows(raw), n, "_key", seed)
     prompt = turn(talk, 0, "value")
     return _seed(kept, fv.EUROBLOCKS, BOTH, prompt, turn(talk, 1, "value"), language_code(F.col("language")), F.md5(prompt))
 
@@ -110,6 +115,14 @@ def tagalog(aya_raw: DataFrame, wildchat_raw: DataFrame, alpaca_raw: DataFrame)
     return union_all([chats, alpaca, native])
 
 
+#: Sampled corpora: the rows that can be drawn, and the column whose hash orders them. Both are stateless, so they work on a stream.
+SAMPLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
+    fv.WILDCHAT: (lambda raw: raw, "conversation_hash"),
+    fv.MAGPIE: (lambda raw: raw, "uuid"),
+    fv.EUROBLOCKS: (euroblocks_rows, "_key"),
+}
+
+
 def short_conversations(raw: DataFrame, column: str) -> DataFrame:
     """Conversations by number of turns, of those too short to give a prompt and a response."""
     turns = F.coalesce(F.size(column), F.lit(0))

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tutorgauge.operators.mergeable import Mergeable, merged, partial_sums
 from tutorgauge.operators.metrics import distinct_ri_of_sums, vector_sums
+from tutorgauge.operators.ranking import first_by_hash
+from tutorgauge.operators.sampling import below_share
 from tutorgauge.session import new_folder
 from tutorgauge.sources.tables import exists
 
@@ -68,6 +71,33 @@ def running_distinct_ri(df: DataFrame, by: list[str], vector: str, path: str, pr
     return distinct_ri_of_sums(total.select(*by, "n", "directed_x", vector_to_array("_s").alias("sum_x")), by, ["x"]).withColumnRenamed("x_distinct_ri", "distinct_ri")
 
 
+def running(df: DataFrame, by: list[str], stats: list[Mergeable], path: str, progress: str) -> DataFrame:
+    """Statistics over a stream, kept as one small table of partial sums per batch.
+
+    A batch is one aggregate; its partials go to a folder of its own, which a retried batch overwrites, so every row
+    counts once across failures and restarts. The result adds all partials up and equals the statistics of all rows in one batch.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        partial_sums(batch, by, stats).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    empty = df.sparkSession.createDataFrame([], df.schema)
+    return merged(partials(df.sparkSession, path, partial_sums(empty, by, stats).schema), by, stats)
+
+
+def streamed_sample(df: DataFrame, n: int, id_col: str, seed: int, share: float, path: str, progress: str) -> DataFrame:
+    """The first ``n`` rows of a stream in hash order: what a seeded shuffle-and-take of the finished table gives.
+
+    The stream keeps the ``share`` with the smallest hashes, a filter without state; of that table the exact sample is taken. A share too small for
+    ``n`` rows, while rows were left out, is an error; a share of 1 keeps all rows and never fails.
+    """
+    kept = append_stream(below_share(df, share, id_col, seed), path, progress)
+    if share < 1 and kept.count() < n:
+        raise ValueError(f"a share of {share} kept fewer than {n} rows: choose a larger one")
+    return first_by_hash(kept, n, id_col, seed)
+
+
 def stream_run(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh output and progress folders below the shared folder."""
     root = new_folder(spark, name)
