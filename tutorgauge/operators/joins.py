@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tutorgauge.session import new_folder
@@ -21,27 +21,32 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def _hadoop(table: DataFrame):
+    """Where a settled table lies, and the settings to reach it, as Hadoop objects."""
+    spark = table.sparkSession
+    return spark._jvm.org.apache.hadoop.fs.Path(table._settled_path), spark._jsparkSession.sessionState().newHadoopConf()
+
+
 def released(*tables: DataFrame) -> None:
     """Delete settled tables that nothing will read again: what was made of them must be settled itself.
 
     Only tables as ``settled`` returned them own a folder; others are left alone.
     """
     for table in tables:
-        path = getattr(table, "_settled_path", None)
-        if path is not None:
-            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        if hasattr(table, "_settled_path"):
+            path, conf = _hadoop(table)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Settle an aggregate and mark it for broadcast if the size of its files and its row count allow it.
 
-    No row comes to the driver to be measured. A larger one stays a plain side of the join: shuffled, with hot keys split by AQE.
+    Rows are counted while they are written; none comes to the driver. A larger one stays a plain side of the join: shuffled, with hot keys split by AQE.
     """
-    table = settled(df)
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._settled_path)
-    files = path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path)
-    if files.getLength() * EXPANSION > max_bytes or table.count() > max_rows:
+    seen = Observation()
+    table = settled(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    path, conf = _hadoop(table)
+    if path.getFileSystem(conf).getContentSummary(path).getLength() * EXPANSION > max_bytes or seen.get["rows"] > max_rows:
         return table
     return F.broadcast(table)
 

@@ -131,21 +131,21 @@ PIECE_ROWS = 200_000  # distinct values that are ordered in one task
 def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Distinct (group, value) with ``_c`` rows of that value, ``_end`` rows up to it and ``_n`` rows in the group; null and NaN are left out.
 
-    The input is read once: copies of a value are counted and the counts settled. Their number decides into how many ranges of (group, value)
-    they are dealt, so a large group lies in many ranges. Each range is ordered apart; its start is the sum of what lies before it in its group.
+    The input is read once: copies of a value are counted and the counts settled. If a group has more than ``piece_rows`` distinct values, they are dealt to
+    ranges of (group, value), so a large group lies in many of them. Each range is ordered apart; its start is the sum of what lies before it in its group.
     """
     by = list(by or [])
     keys = [f"_by_{i}" for i in range(len(by))]
     spot = F.col(value)
     seen = df.filter(spot.isNotNull() & ~F.isnan(spot.cast("double"))).select(*[F.struct(F.col(c).alias("v")).alias(k) for c, k in zip(by, keys)], spot.alias("_value"))
     counts = settled(seen.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_c")))
-    ranges = -(-counts.count() // piece_rows)
+    largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
     out = lambda rows: rows.select(*[F.col(k)["v"].alias(c) for c, k in zip(by, keys)], F.col("_value").alias(value), "_c", "_end", "_n")
-    if ranges <= 1:
+    if (largest["most"] or 0) <= piece_rows:  # groups are ordered apart as they are
         whole = Window.partitionBy(*keys)
         run = whole.orderBy("_value").rowsBetween(*_TO_HERE)
         return out(counts.withColumns({"_end": F.sum("_c").over(run), "_n": F.sum("_c").over(whole)}))
-    placed = settled(counts.repartitionByRange(ranges, *keys, "_value").withColumn("_piece", F.spark_partition_id()))
+    placed = settled(counts.repartitionByRange(-(-largest["all"] // piece_rows), *keys, "_value").withColumn("_piece", F.spark_partition_id()))
     released(counts)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = placed.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_rows"))

@@ -10,6 +10,7 @@ from tutorgauge.functions.hashing import coin, hash_number, seeded_hash
 from tutorgauge.functions.text import chat_messages, fill, first_tokens, token_count, tokens, training_source
 from tutorgauge.functions.names import lookup
 from tutorgauge.operators.filters import require_columns
+from tutorgauge.operators.joins import settled
 from tutorgauge.operators.ranking import shuffled_index
 
 EXAMPLES = 3
@@ -19,10 +20,11 @@ def in_context_examples(df: DataFrame, pool: DataFrame | None = None, id_col: st
     """(id, examples): for every row, k pool rows written as prompt and response.
 
     The pool gets dense positions in hash order; each row asks for k of them and an equi-join on the
-    position answers, so the work is linear in rows. A row may draw itself.
+    position answers, so the work is linear in rows. A row may draw itself. The pool is computed once.
     """
-    pool = df if pool is None else pool
-    indexed = shuffled_index(pool.select(id_col, "prompt", "response"), id_col, seed)
+    own, pool = pool is None, settled((df if pool is None else pool).select(id_col, "prompt", "response"))
+    df = pool if own else df
+    indexed = shuffled_index(pool, id_col, seed)
     text = F.concat(F.lit("Prompt: "), F.coalesce("prompt", F.lit("None")), F.lit("\nResponse: "), F.coalesce("response", F.lit("None")))
     indexed = indexed.select("idx", text.alias("_text"))
     size = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
