@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 GAPS = ((1, 2), (2, 5), (3, 9))  # the second and third byte of a triplet, counted from the first
 ROWS_PER_RANGE = 500
+MOST_RANGES = 20_000
 _FACTORS = (2654435761, 2246822519, 3266489917)
 _STEP = 1 << 20
 
@@ -89,7 +90,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row
     """Per row ``id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``; ids are integers.
 
     The next document is that of the next id; after the last comes the first. Ids are cut into ranges of about
-    ``rows_per_range`` rows, and the first row of each range is also sent to the end of the range before, so a
+    ``rows_per_range`` rows, or of more where there would be over ``MOST_RANGES`` (the driver and every task know the ranges), and the first row of each range is also sent to the end of the range before, so a
     range is a sorted run that knows its follower, and the text is shuffled once. The edited text has its last quarter
     (rounded down, in code points) replaced by the start of the next text. Null texts are empty, rows that repeat an id stand in
     order of a hash of their text, null ids come first; a single row is its own next one.
@@ -97,9 +98,9 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row
     least = -(1 << 63)  # stands for a null id: a column with nulls would reach Python as floats
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).withColumn("tie", F.xxhash64("data"))
     n = docs.count()
-    ranges = max(1, n // rows_per_range)
+    ranges = min(MOST_RANGES, max(1, n // rows_per_range))
     shares = [i / ranges for i in range(1, ranges)]
-    # cut points and first rows: a few numbers for each range, one range for hundreds of documents
+    # cut points and first rows: a few numbers for each of a bounded number of ranges
     cuts = np.array(sorted(set(rows.agg(F.percentile_approx("id", shares, 10 * ranges)).first()[0] or [])) if shares else [], np.int64)
 
     @F.pandas_udf("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,39 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+_A, _P, _P_WITHIN = ("a",), ("p",), ("button", "td", "th", "table", "object")
+
+
+class OpenElements:
+    """The open elements, each with the node whose verdict it shares; place 0 is the page.
+
+    The places of every tag are kept as well, so the innermost of some tags is found without a walk, however deep a page is nested.
+    """
+
+    __slots__ = ("names", "nodes", "places")
+
+    def __init__(self):
+        self.names, self.nodes, self.places = [""], [0], {}
+
+    def node(self) -> int:
+        return self.nodes[-1]
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.names))
+        self.names.append(tag)
+        self.nodes.append(node)
+
+    def pop(self) -> str:
+        self.nodes.pop()
+        tag = self.names.pop()
+        self.places[tag].pop()
+        return tag
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if none is open."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+
 class Page:
     """Elements that get a verdict of their own, and the page's texts and block edges in order.
 
@@ -67,41 +100,35 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("", 0)]  # open elements with the node whose verdict they share
-        links = at = 0
-        seen = 0
+        stack = OpenElements()
+        at = seen = 0
         raw = ""
         for m in _MARKUP.finditer(source):
             if m.start() < at:
                 continue
             if m.start() > at:
-                seen = self._text(source[at : m.start()], stack[-1][1], links, seen)
+                seen = self._text(source[at : m.start()], stack.node(), stack.innermost(_A) > 0, seen)
             at = m.end()
             tag = m[2]
             if tag is None:
                 continue
             tag = tag.lower()
             if m[1]:
-                if any(t == tag for t, _ in stack[1:]):
-                    while True:
-                        top, _ = stack.pop()
-                        links -= top == "a"
-                        if top not in INLINE:
+                if (last := stack.innermost((tag,))) > 0:
+                    while len(stack.names) > last:
+                        if stack.pop() not in INLINE:
                             self.events.append((-1, ""))
-                        if top == tag:
-                            break
                 elif tag not in INLINE:
                     self.events.append((-1, ""))
                 continue
             if tag not in INLINE:
-                self._close(stack, {"p"}, {"button", "td", "th", "table", "object"})
+                self._close(stack, _P, _P_WITHIN)
                 self.events.append((-1, ""))
             if tag in CLOSES:
                 self._close(stack, CLOSES[tag], WITHIN[tag])
-            links = sum(t == "a" for t, _ in stack)
+            over = stack.node()
             if tag == "br":
-                self.events.append((stack[-1][1], " "))
-            over = stack[-1][1]
+                self.events.append((over, " "))
             self.tags[over] += 1
             attributes = m[3] if "=" in m[3] or "hidden" in m[3] else ""
             if tag in RAW:
@@ -111,23 +138,20 @@ class Page:
             if tag in VOID or m[3].endswith("/") and tag in _GROUP_OF and _GROUP_OF[tag] == 11:
                 continue
             if tag in PLAIN or tag in ("html", "body") or (tag == "span" and not attributes):
-                stack.append((tag, over))
+                stack.push(tag, over)
             else:
                 self._node(tag, attributes, over, seen)
-                stack.append((tag, len(self.group) - 1))
-            links += tag == "a"
+                stack.push(tag, len(self.group) - 1)
         if at < len(source):
-            self._text(source[at:], stack[-1][1], links, seen)
+            self._text(source[at:], stack.node(), stack.innermost(_A) > 0, seen)
 
-    def _close(self, stack: list, tags: set, within: set) -> None:
+    def _close(self, stack: OpenElements, tags: Iterable[str], within: Iterable[str]) -> None:
         """Ends the innermost open element of these tags, unless one of ``within`` stands between."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in within:
-                return
-            if stack[i][0] in tags:
-                del stack[i:]
-                self.events.append((-1, ""))
-                return
+        last = stack.innermost(tags)
+        if last > max(0, stack.innermost(within)):
+            while len(stack.names) > last:
+                stack.pop()
+            self.events.append((-1, ""))
 
     def _text(self, text: str, node: int, links: int, seen: int) -> int:
         if "&" in text:
@@ -341,7 +365,11 @@ def trained(spark: SparkSession, pages: int = TRAINING_PAGES, trees: int = TREES
             yield pd.DataFrame({"label": forest.label[inner].astype(float), "x": list(forest.features()[inner])})
 
     rows = spark.range(0, pages, 1, 8).mapInPandas(nodes, "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=SEED).fit(rows)
+    return flattened(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=SEED).fit(rows))
+
+
+def flattened(model) -> list[tuple]:
+    """The trees of a fitted Spark model as arrays."""
     out = []
     for tree, weight in zip(model.trees, model.treeWeights):
         feature, threshold, left, right, value = [], [], [], [], []
@@ -384,13 +412,28 @@ def main_texts(model: list[tuple], sources: list[str | None]) -> list[str]:
     return [p.text(kept[a : a + len(p.group)]) for p, a in zip(pages, forest.starts)]
 
 
+_fits: dict[str, list[tuple]] = {}
+
+
+def session_model(spark: SparkSession) -> list[tuple]:
+    """The model with its default parameters, fitted once a session: it depends on nothing else."""
+    of = spark.sparkContext.applicationId
+    if of not in _fits:
+        _fits.clear()
+        _fits[of] = trained(spark)
+    return _fits[of]
+
+
 def extracted(pages: DataFrame, html: str = "html", out: str = "text", model: list[tuple] | None = None) -> DataFrame:
     """``pages`` with the main text of the whole page; null or empty html gives an empty text.
 
     Script, style and title are never text. White space inside a block, line breaks and no-break spaces among it,
-    becomes one space. Any number of tags, open or closed, is read; other columns are passed on.
+    becomes one space. Any number of tags, open or closed, at any depth, is read in time that grows with the page; no page is
+    skipped. A column named ``out`` is replaced, other columns are passed on. No rows give no rows, without a fit.
     """
-    model = model or trained(pages.sparkSession)
+    if pages.isEmpty():
+        return pages.withColumn(out, F.lit(""))
+    model = model or session_model(pages.sparkSession)
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -158,7 +158,7 @@ def fitted(sample: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 8,
 
 
 class Scorer:
-    """Linear scores of texts; the weight of a word met before is looked up, up to a million words."""
+    """Linear scores of texts; the weight of a word met before is looked up: up to a million words, of no more than 64 bytes each."""
 
     def __init__(self, weights: np.ndarray, intercept: float):
         self.weights, self.intercept, self.known = weights, intercept, {}
@@ -166,10 +166,12 @@ class Scorer:
     def _weight(self, word: bytes) -> float:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= 1_000_000:
-                self.known.clear()
             a, b = word_features(word)
-            found = self.known[word] = float(WORD_SCALE * self.weights[a] + self.weights[b])
+            found = float(WORD_SCALE * self.weights[a] + self.weights[b])
+            if len(word) <= LONGEST_KNOWN:
+                if len(self.known) >= KNOWN_WORDS:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
     def score(self, text: bytes) -> float:
@@ -188,12 +190,16 @@ def _vote_column(data: Column) -> Column:
     return of(data)
 
 
+KNOWN_WORDS, LONGEST_KNOWN = 1_000_000, 64  # what bounds the memory of a scorer
+
+
 def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", training_rows: int = TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row ``id, score, kept``: the probability of a good document and whether it reaches ``threshold``.
 
     Vote patterns of all rows are counted (three to the power of the labellers at most, 177,147) and the label model is fitted on
     the counts. The scorer is a logistic model of hashed words, word shapes and repeats, trained on the posteriors of about
-    ``training_rows`` different texts at most in expectation, drawn by their hash, copies once: a bounded sample, which the driver holds; all rows are scored. Null and empty texts are scored as
+    ``training_rows`` different texts at most in expectation, drawn by their hash, copies once, at a rate that follows from the number of different texts (sketched): a bounded sample, which the driver
+    holds; all rows are scored. Null and empty texts are scored as
     texts without words. Rows of equal text agree. An empty table gives no rows.
     """
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -210,9 +216,11 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trai
     def vectors(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([[x.tolist() for x in _vector(t)] for t in texts], columns=["places", "values"])
 
-    most = int(min(1.0, training_rows / counts.sum()) * (1 << 31))
-    # copies share a hash: however many there are, one row of them is drawn
-    drawn = rows.withColumn("hash", F.xxhash64("data")).filter(F.pmod("hash", F.lit(1 << 31)) <= most)
+    # copies share a hash: however many there are, one row of them is drawn, so the rate follows from the number of different texts
+    hashed = rows.withColumn("hash", F.xxhash64("data"))
+    texts = max(1, hashed.agg(F.approx_count_distinct("hash", 0.02)).first()[0])
+    most = int(min(1.0, training_rows / texts) * (1 << 31))
+    drawn = hashed.filter(F.pmod("hash", F.lit(1 << 31)) <= most)
     sample = drawn.groupBy("hash").agg(F.min("data").alias("data")).select("hash", _vote_column(F.col("data")).alias("votes"), vectors("data").alias("x")).orderBy("hash").toPandas()
     weights, intercept = fitted([(np.array(x["places"]), np.array(x["values"]), posterior[v]) for x, v in zip(sample["x"], sample["votes"])])
 
