@@ -5,10 +5,13 @@ import re
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tutorgauge.llm import line_dedup, simhash
 from tutorgauge.llm.components import components
 from tutorgauge.llm.queries import QUERIES
+from tutorgauge.operators.joins import settled
 
 SCHEMA = "doc_id long, text string, fp string, node long"
 
@@ -141,6 +144,43 @@ def test_lines(spark):
     assert len(twice) == 6 and len({(r.doc_id, r.text) for r in twice}) == 3
 
 
+def test_registered_path_on_odd_rows_and_names(spark):
+    """Nulls, empty and very long lines, repeated rows and columns under names the operator uses, as op3 and the pipeline call it."""
+    shared = "this passage stands in many documents of the corpus word for word"
+    rows = [(0, f"{shared}\nfirst own line"), (1, f"second own line\n{shared.upper()}!"), (2, None), (3, ""), (4, "\n\n"), (5, "--\n--"), (None, shared), (None, None), (1, f"second own line\n{shared.upper()}!")]
+    rows += [(6, "x" * 30_000 + "\nshort"), (7, "y " * 5000 + "\nshort"), (8, shared)]
+    names = "n_lines n_removed id copy line pos first n component head known sim norm _line_doc _line_copy _line_drops _line_row _line_text _line_bits"
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in [*names.split(), "a.b"])
+    df = spark.createDataFrame([(*r, *[f"{c}-{k}" for c in [*names.split(), "a.b"]]) for k, r in enumerate(rows)], schema)
+    out = line_dedup.dedup_lines(df, bits=None, counts=False)
+    assert out.columns == df.columns
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(rows):
+        r = got[f"id-{k}"]
+        assert r.doc_id == i and all(r[c] == f"{c}-{k}" for c in [*names.split(), "a.b"])
+    text = lambda k: got[f"id-{k}"].text
+    assert [text(k) for k in (2, 3, 4, 5, 7)] == [None, "", "\n\n", "--\n--", None]
+    # a null id comes first: its copy of the passage is the one that stays
+    assert text(6) == shared and text(0) == "first own line" and text(1) == text(8) == "second own line" and text(11) == ""
+    assert text(9) == rows[9][1] and text(10) == "y " * 5000
+    counted = line_dedup.dedup_lines(df, bits=None)
+    assert counted.columns == [c for c in df.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in counted.filter("doc_id IN (0, 2, 4)").collect()} == {0: (2, 1), 2: (0, 0), 4: (3, 0)}
+
+
+def test_pipeline_with_clashing_names(spark):
+    """Every stage passes on columns whose names operators use; empty documents pass through all stages."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(c) for c in ("n_lines", "n_removed", "size", "fp", "kept", "component", "id")})
+    now, none = docs, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now, none = settled(stage(spark, now, folder)), settled(stage(spark, none, folder))
+        assert now.columns == docs.columns == none.columns and none.count() == 0, name
+        assert now.filter("n_lines <> 'n_lines' OR id <> 'id' OR kept <> 'kept'").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, now, folder).count() > 0 and corpus_pipeline.STAGES[-1][1](spark, none, folder).count() == 0
+
+
 def test_loose_members_are_compared_with_all(spark):
     # the same words in another order: one SimHash, yet the edit distance is large; a third line is near the second only
     a = "alpha beta gamma delta epsilon zeta eta theta"
