@@ -236,7 +236,7 @@ def test_recall_of_scattered_edits(spark):
     real = [draw.sample(of, min(40, len(of))) for of in ([x for x in given if a <= len(x) < b and re.fullmatch("[a-z ]+", x)] for a, b in CLASSES)]
     got = recall(spark, real, draw)
     print("given", {k: round(v, 2) for k, v in sorted(got.items())})
-    assert sum(got.values()) / len(got) >= 0.9 and min(got.values()) >= 0.6
+    assert sum(got.values()) / len(got) >= 0.9 and all(v >= 0.85 for (_, s), v in got.items() if s <= 0.02)
     # letters by chance: no gram repeats, so an edit turns more bits; only the least edits of lines below 512 characters are asked for
     hard = recall(spark, made, draw)
     print("letters by chance", {k: round(v, 2) for k, v in sorted(hard.items())})
