@@ -106,9 +106,9 @@ NORM = lambda line: " ".join(re.findall(r"[^\W_]+", line.lower()))
 
 
 def plain_print(line, size):
-    """SimHash of the grams of all words, as two longs of 64 bits."""
-    words = [" " + w[i : i + 12] + " " for w in line.split() for i in range(0, len(w), 12)]
-    grams = [w[i : i + size] for w in words for i in range(max(1, len(w) - size + 1))]
+    """SimHash of all character grams, a blank at either end of the line, as two longs of 64 bits."""
+    line = f" {line} "
+    grams = [line[i : i + size] for i in range(len(line) - size + 1)]
     one = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     two = [xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42) for h in one]
     return [sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs)) for hs in (one, two)]
