@@ -12,11 +12,12 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorgauge.functions.significance import normal_p
+from tutorgauge.operators.boosting import BoostedTreesRegressor
 from tutorgauge.operators.joins import released, settled
 from tutorgauge.operators.scores import standardized
 from tutorgauge.sources.tables import literal_table
@@ -80,7 +81,7 @@ def _estimator(kind: str, n: int, label: str, sd: float):
         expand = PolynomialExpansion(degree=2, inputCol="components", outputCol="_poly")
         return Pipeline(stages=[expand, LinearRegression(featuresCol="_poly", labelCol=label, solver="normal")])
     if kind == "boosted":
-        return GBTRegressor(featuresCol="components", labelCol=label, maxIter=100, maxDepth=3, stepSize=0.1, seed=42)
+        return BoostedTreesRegressor("components", label, rounds=100, step=0.1, seed=42)
     raise ValueError(f"unknown regression {kind!r}; known: {REGRESSIONS}")
 
 
