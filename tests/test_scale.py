@@ -30,3 +30,14 @@ def test_boosted_trees_are_those_of_spark_in_two_jobs_a_tree(spark):
     assert a == pytest.approx(b, abs=1e-9)
     assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=1e-6)
     rows.unpersist()
+
+
+def test_streamed_corpus_is_not_gathered_in_three_files(spark, monkeypatch):
+    folders = []
+    monkeypatch.setattr(queries_jobs, "new_folder", lambda s, name: folders.append(new_folder(s, name)) or folders[-1])
+    raw = spark.range(0, 1200, 1, 12).select("id", F.concat(F.lit("t"), "id").alias("inputs"), F.lit("re").alias("targets"), F.lit("deu").alias("language"))
+    got = queries_jobs.streamed_corpus(SimpleNamespace(spark=spark), raw, fv.AYA)
+    assert got.count() == 1200
+    assert len(spark.read.parquet(folders[0]).inputFiles()) == 12
+    none = queries_jobs.streamed_corpus(SimpleNamespace(spark=spark), raw.limit(0), fv.AYA)
+    assert none.count() == 0

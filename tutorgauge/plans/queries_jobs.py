@@ -175,10 +175,12 @@ def _(t):
 
 
 def streamed_corpus(t, raw, source: str, n=None, share: float = 1.0):
-    """A corpus as a stream, a file a batch, through its normaliser."""
+    """A corpus as a stream of about three batches, through its normaliser."""
     at, (out, progress) = new_folder(t.spark, "corpus"), streaming.stream_run(t.spark, "seeds")
-    raw.repartition(3).write.parquet(at)
-    return flat(jobs.streamed_seeds(streaming.file_stream(t.spark, at, raw.schema, 1), source, out, progress, n, 42, share))
+    # as many files as the rows were read in, none of them gathered: the files grow in number, not the work of a task
+    raw.write.parquet(at)
+    batch = -(-len(t.spark.read.schema(raw.schema).parquet(at).inputFiles()) // 3)
+    return flat(jobs.streamed_seeds(streaming.file_stream(t.spark, at, raw.schema, max(1, batch)), source, out, progress, n, 42, share))
 
 
 @query("n1_streamed_wildchat", N1_SQL)
