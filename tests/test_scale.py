@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tutorgauge import fixed_values as fv
 from tutorgauge.operators import models
+from tutorgauge.operators.boosting import BoostedTreesRegressor
 from tutorgauge.plans import queries_jobs
 from tutorgauge.session import new_folder
 
@@ -32,6 +33,16 @@ def test_boosted_trees_are_those_of_spark_in_two_jobs_a_tree(spark):
     rows.unpersist()
 
 
+def test_borders_come_from_the_rows_that_spark_draws(spark):
+    """Beyond 10,000 rows Spark places the borders of the bins by a draw; zeros are what is missing of its expected size."""
+    x = F.array(F.rand(1), F.floor(F.rand(2) * 50) - 25.0, F.randn(3))
+    rows = spark.range(0, 30_000, 1, 2).select(array_to_vector(x).alias("components"), (F.sin("id") + F.rand(4)).alias("y")).cache()
+    a = BoostedTreesRegressor("components", "y", 3).fit(rows).transform(rows).select(F.col("prediction").alias("a"))
+    b = GBTRegressor(featuresCol="components", labelCol="y", maxIter=3, maxDepth=3, stepSize=0.1, seed=42).fit(rows).transform(rows).select("prediction")
+    assert [r.a for r in a.collect()] == pytest.approx([r.prediction for r in b.collect()], abs=1e-9)
+    rows.unpersist()
+
+
 def test_streamed_corpus_is_not_gathered_in_three_files(spark, monkeypatch):
     folders = []
     monkeypatch.setattr(queries_jobs, "new_folder", lambda s, name: folders.append(new_folder(s, name)) or folders[-1])

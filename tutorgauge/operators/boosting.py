@@ -17,18 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS = 32
-SPLIT_ROWS = 10_000  # rows, in expectation, whose values place the borders of the bins, as in Spark
+SPLIT_ROWS = 10_000  # rows, in expectation, whose values place the borders of the bins
 REFRESH = 5  # trees after which the fitted values are kept with the rows
-DEPTH = 3
+NO_CUT = 255  # above every bin
 
 
-def borders(values: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Borders between at most ``bins`` bins of near equal counts: midpoints of neighbouring values."""
-    at, counts = np.unique(values, return_counts=True)
+def borders(values: np.ndarray, rows: int, bins: int = BINS) -> np.ndarray:
+    """Borders between at most ``bins`` bins of near equal counts: midpoints of neighbouring values.
+
+    ``values`` are drawn so that ``rows`` are expected; as in Spark, what is missing of them counts as zeros.
+    """
+    at, counts = np.unique(values[values != 0], return_counts=True)
+    if (zeros := rows - counts.sum()) > 0:
+        place = np.searchsorted(at, 0.0)
+        at, counts = np.insert(at, place, 0.0), np.insert(counts, place, zeros)
     mid = (at[:-1] + at[1:]) / 2
     if len(mid) <= bins - 1:
         return mid
-    run, stride = np.cumsum(counts), len(values) / bins
+    run, stride = np.cumsum(counts), rows / bins
     out, target = [], stride
     for i in range(1, len(at)):
         if abs(run[i - 1] - target) < abs(run[i] - target):
@@ -37,6 +43,16 @@ def borders(values: np.ndarray, bins: int = BINS) -> np.ndarray:
     return np.array(out)
 
 
+def _drawn(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """About ``SPLIT_ROWS`` of ``n`` rows, the very ones Spark's trees draw for their borders; all if there are no more."""
+    if n <= SPLIT_ROWS:
+        return rows
+    spark = rows.sparkSession
+    draw = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    picked = rows._jdf.toJavaRDD().sample(False, SPLIT_ROWS / n, draw)
+    return DataFrame(spark._jsparkSession.createDataFrame(picked, rows._jdf.schema()), spark)
+
+
 def _leaf(tree: tuple, bins: np.ndarray) -> np.ndarray:
     """The leaf, 0 to 7, of every column of ``bins``."""
     feature, cut, _ = tree
@@ -67,7 +83,7 @@ def _best(counts: np.ndarray, sums: np.ndarray) -> tuple[int, int, float]:
         gain = np.where((left > 0) & (right > 0), left_sum**2 / left + right_sum**2 / right - s**2 / n, -np.inf)
     at = int(np.argmax(gain))
     if not gain.flat[at] > 0:
-        return 0, BINS, 0.0
+        return 0, NO_CUT, 0.0
     return at // gain.shape[1], at % gain.shape[1], float(gain.flat[at])
 
 
@@ -109,9 +125,9 @@ class BoostedTreesRegressor:
         k = len(first[0])
         x = vector_to_array(self.features)
         flat = rows.select(*[F.get(x, F.lit(i)).alias(f"x{i}") for i in range(k)], F.col(self.label).cast("double").alias("y"))
-        some = flat if n <= SPLIT_ROWS else flat.sample(SPLIT_ROWS / n, self.seed)
-        drawn = some.drop("y").toPandas()
-        cuts = [borders(drawn[f"x{i}"].to_numpy(), min(BINS, n)) for i in range(k)]
+        drawn = _drawn(flat.drop("y"), n, self.seed).toPandas()
+        cuts = [borders(drawn[f"x{i}"].to_numpy(), min(n, SPLIT_ROWS), min(BINS, n)) for i in range(k)]
+        width = max(len(c) for c in cuts) + 1  # a draw above the expected size can give a bin more
 
         def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -133,11 +149,11 @@ class BoostedTreesRegressor:
             """Sums (or counts) of a task by the bins of every two features."""
 
             def sums(part: Iterator[tuple[bytes, bytes]]) -> Iterator[bytes]:
-                out = np.zeros((len(pairs), BINS * BINS))
+                out = np.zeros((len(pairs), width * width))
                 for bins, rest in rests(part, trees):
-                    high = bins.astype(np.int64) * BINS
+                    high = bins.astype(np.int64) * width
                     for p, (i, j) in enumerate(pairs):
-                        out[p] += np.bincount(high[i] + bins[j], None if counted else rest, BINS * BINS)
+                        out[p] += np.bincount(high[i] + bins[j], None if counted else rest, width * width)
                 yield out.tobytes()
 
             return sums
@@ -146,13 +162,13 @@ class BoostedTreesRegressor:
             """Counts and sums of a task by node of the third level, feature and bin."""
 
             def sums(part: Iterator[tuple[bytes, bytes]]) -> Iterator[bytes]:
-                out = np.zeros((2, k, 4 * BINS))
+                out = np.zeros((2, k, 4 * width))
                 for bins, rest in rests(part, trees):
-                    node = (_leaf(tree, bins) >> 1).astype(np.int64) * BINS
+                    node = (_leaf(tree, bins) >> 1).astype(np.int64) * width
                     for i in range(k):
                         at = node + bins[i]
-                        out[0, i] += np.bincount(at, minlength=4 * BINS)
-                        out[1, i] += np.bincount(at, rest, 4 * BINS)
+                        out[0, i] += np.bincount(at, minlength=4 * width)
+                        out[1, i] += np.bincount(at, rest, 4 * width)
                 yield out.tobytes()
 
             return sums
@@ -172,7 +188,7 @@ class BoostedTreesRegressor:
 
         state = flat.mapInPandas(packed, "bins binary, rest binary").rdd.map(lambda r: (bytes(r[0]), bytes(r[1]))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            shape = (len(pairs), BINS, BINS)
+            shape = (len(pairs), width, width)
             counts = total(state, of_pairs([], True)).reshape(shape)
             trees, since, gains = [], [], np.zeros(k)
             for number in range(self.rounds):
@@ -183,7 +199,7 @@ class BoostedTreesRegressor:
                     old.unpersist()
                 else:
                     found = total(state, of_pairs(since, False)).reshape(shape)
-                feature, cut, value = [0] * 7, [BINS] * 7, np.zeros(8)
+                feature, cut, value = [0] * 7, [NO_CUT] * 7, np.zeros(8)
                 weight = 4.0 if number else 1.0
                 sides = lambda f, c, right, h: np.stack([(table(h, f, g)[c + 1 :] if right else table(h, f, g)[: c + 1]).sum(0) for g in range(k)])
                 whole = lambda h: np.stack([table(h, g, g).sum(0) for g in range(k)])
@@ -194,7 +210,7 @@ class BoostedTreesRegressor:
                     node = 1 + right
                     feature[node], cut[node], gain = _best(sides(feature[0], cut[0], right, counts), sides(feature[0], cut[0], right, found))
                     gains[feature[node]] += weight * gain
-                got = total(state, of_nodes(since, (feature, cut, value))).reshape(2, k, 4, BINS)
+                got = total(state, of_nodes(since, (feature, cut, value))).reshape(2, k, 4, width)
                 for q in range(4):
                     node = 3 + q
                     n_q, s_q = got[0, :, q], got[1, :, q]
