@@ -257,6 +257,58 @@ def test_large_group_of_near_copies_is_linked_through_its_base(spark):
     assert removed == {i: int(i > 0) for i in range(350)}
 
 
+def edited(draw, line, edits):
+    """The line after that many replaced, inserted or deleted letters."""
+    out = list(line)
+    for _ in range(edits):
+        at, how = draw.randrange(1, len(out) - 1), draw.random()
+        out[at : at + (how < 0.7)] = [draw.choice("abcdefghij")] * (how < 0.4 or how >= 0.7)
+    return "".join(out)
+
+
+def test_letter_counts_never_rule_out_a_similar_line(spark):
+    """The rings of two lines differ in no more bits than their edits allow; lines too long for the counts have none."""
+    draw = random.Random(12)
+    lines = ["".join(draw.choices("abcdeéüfghij ", k=draw.randint(40, 900))) for _ in range(60)]
+    pairs = [(NORM(x), NORM(edited(draw, x, draw.randint(1, 12)))) for x in lines]
+    texts = sorted({t for pair in pairs for t in pair}) + ["x" * 40_000, "y" * 29_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.first.id, r.range): r for r in line_dedup.line_prints(line_dedup._places(df, "doc_id", "text")).collect()}
+    size = {k: next(row[0] for row in line_dedup.GRAMS if k[1] < row[1]) for k in found}
+    ring = lambda n: ((1 << n % 16) - 1) & 255 if n % 16 <= 8 else 255 & 255 << n % 16 - 8
+    for (i, r), row in found.items():
+        padded = f" {texts[i]} "
+        counts = Counter((xxhash.xxh64_intdigest(c.encode(), 42) & 60) >> 2 for c in padded[: len(padded) - size[i, r] + 1]) if len(texts[i]) <= line_dedup.COUNTED_CHARS else Counter()
+        want = sorted(8 - bin(ring(counts[k])).count("1") for k in range(16))
+        assert sorted(bin(x).count("1") for c in (row.c0, row.c1) for x in (c & (1 << 64) - 1).to_bytes(8, "little")) == want
+    met = 0
+    for a, b in pairs:
+        d, at = edit_distance(a, b), [texts.index(a), texts.index(b)]
+        for r in {r for i, r in found if i == at[0]} & {r for i, r in found if i == at[1]}:
+            x, y = (found[i, r] for i in at)
+            apart = sum(bin((x[c] ^ y[c]) & (1 << 64) - 1).count("1") for c in ("c0", "c1"))
+            assert apart <= 2 * (d + size[at[0], r] - 2)
+            met += 1
+    assert met > 40
+
+
+def test_letters_spare_pairs_of_a_group_that_is_near_but_not_similar(spark, monkeypatch):
+    """Lines with most of their grams in common, but letters of their own: few of their pairs are made, and each once."""
+    draw = random.Random(5)
+    base = [draw.choice(("onthe", "ation", "erth", "andof", "thati", "shere")) for _ in range(60)]
+    lines = [" ".join(w if draw.random() > 0.1 else "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for w in base) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate([*lines, *lines[:3]])), "doc_id long, text string")
+    made = []
+    keep = line_dedup.settled
+    monkeypatch.setattr(line_dedup, "settled", lambda t: made.append((t.columns, keep(t))) or made[-1][1])
+    prints = keep(line_dedup.line_prints(line_dedup._places(df, "doc_id", "text")))
+    monkeypatch.setattr(line_dedup, "released", lambda *tables: None)
+    line_dedup.similar_lines(df, prints).collect()
+    pairs = sum(t.count() for columns, t in made if sorted(columns) == ["a", "b"])
+    assert pairs < len(lines) * (len(lines) - 1) / 2 / 3  # the fingerprints alone let nearly all pass
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).filter("n_removed > 0").collect()} == {150, 151, 152}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.one_per_group(empty).count() == 0
