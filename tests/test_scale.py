@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tutorgauge import fixed_values as fv
-from tutorgauge.operators import models
+from tutorgauge.operators import boosting, models
 from tutorgauge.operators.boosting import BoostedTreesRegressor
 from tutorgauge.plans import queries_jobs
 from tutorgauge.session import new_folder
@@ -43,6 +43,19 @@ def test_borders_come_from_the_rows_that_spark_draws(spark):
     rows.unpersist()
 
 
+def test_trees_of_a_small_table_start_one_task_a_pass(spark):
+    rows = spark.range(0, 1000, 1, 8).select(array_to_vector(F.array(F.col("id") % 7 + 0.5, F.rand(3))).alias("components"), F.sin("id").alias("y")).persist()
+    rows.count()
+    spark.sparkContext.setJobGroup("passes", "passes")
+    BoostedTreesRegressor("components", "y", 4).fit(rows)
+    spark.sparkContext.setJobGroup("others", "others")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("passes") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert tasks.count(1) >= 9 and sum(tasks) < 40
+    assert [boosting._tasks(n, 12, 6) for n in (10, 600_000, 3_600_000, 40_000_000, 10**9)] == [1, 3, 6, 11, 12]
+    rows.unpersist()
+
+
 def test_streamed_corpus_is_not_gathered_in_three_files(spark, monkeypatch):
     folders = []
     monkeypatch.setattr(queries_jobs, "new_folder", lambda s, name: folders.append(new_folder(s, name)) or folders[-1])

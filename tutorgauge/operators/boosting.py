@@ -20,6 +20,7 @@ BINS = 32
 SPLIT_ROWS = 10_000  # rows, in expectation, whose values place the borders of the bins
 REFRESH = 5  # trees after which the fitted values are kept with the rows
 NO_CUT = 255  # above every bin
+TASK_ROWS, MOST_TASK_ROWS = 250_000, 4_000_000  # a task should have that many rows at least, so that its start does not outweigh its sums, and at most
 
 
 def borders(values: np.ndarray, rows: int, bins: int = BINS) -> np.ndarray:
@@ -43,6 +44,11 @@ def borders(values: np.ndarray, rows: int, bins: int = BINS) -> np.ndarray:
     return np.array(out)
 
 
+def _tasks(n: int, now: int, cores: int) -> int:
+    """How many of ``now`` partitions to pass over: two passes a tree start them all, so no more than one a core unless they get too large."""
+    return min(now, max(min(cores, n // TASK_ROWS + 1), n // MOST_TASK_ROWS + 1))
+
+
 def _drawn(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """About ``SPLIT_ROWS`` of ``n`` rows, the very ones Spark's trees draw for their borders; all if there are no more."""
     if n <= SPLIT_ROWS:
@@ -186,7 +192,8 @@ class BoostedTreesRegressor:
                 return np.diag(found[p].sum(1 if pairs[p][0] == i else 0))
             return found[pairs.index((i, j))] if i < j else found[pairs.index((j, i))].T
 
-        state = flat.mapInPandas(packed, "bins binary, rest binary").rdd.map(lambda r: (bytes(r[0]), bytes(r[1]))).persist(StorageLevel.MEMORY_AND_DISK)
+        few = flat.coalesce(_tasks(n, flat.rdd.getNumPartitions(), flat.sparkSession.sparkContext.defaultParallelism))
+        state = few.mapInPandas(packed, "bins binary, rest binary").rdd.map(lambda r: (bytes(r[0]), bytes(r[1]))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             shape = (len(pairs), width, width)
             counts = total(state, of_pairs([], True)).reshape(shape)
