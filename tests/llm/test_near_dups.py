@@ -292,6 +292,30 @@ def test_letter_counts_never_rule_out_a_similar_line(spark):
     assert met > 40
 
 
+def test_short_lines_within_the_edits_have_a_piece_in_common(spark):
+    """Random edits, up to as many as the similarity allows, leave a piece whole where the other line looks for it; few pieces are kept for it."""
+    draw = random.Random(13)
+    texts = []
+    for _ in range(300):
+        x = "".join(draw.choices("abcdefghij", k=draw.randint(34, 126)))
+        y = edited(draw, x, draw.randint(1, math.floor(0.03 * len(x) + 1e-9)))
+        if edit_distance(x, y) <= math.floor(0.03 * max(len(x), len(y)) + 1e-9) and x != y:
+            texts += [x, y]
+    assert len(texts) > 400
+    df = spark.createDataFrame(list(enumerate([*texts, "z" * 200])), "doc_id long, text string")
+    prints = line_dedup.line_prints(line_dedup._places(df, "doc_id", "text")).withColumn("node", F.col("first.id")).cache()
+    got = {shifted: {} for shifted in (True, False)}
+    for shifted, of in got.items():
+        for r in line_dedup._piece_entries(prints, shifted).collect():
+            of.setdefault((r.node, r.place >> 6), set()).add(r.piece)
+    assert {r for _, r in got[False]} == {10, 11, 12, 13} and max(map(len, got[False].values())) <= 8 and max(map(len, got[True].values())) <= 16
+    for k in range(0, len(texts), 2):
+        both = {r for i, r in got[True] if i == k} & {r for i, r in got[False] if i == k + 1}
+        if max(len(texts[k]), len(texts[k + 1])) < 128:
+            assert any(got[True][k, r] & got[False][k + 1, r] for r in both) and any(got[True][k + 1, r] & got[False][k, r] for r in both)
+    prints.unpersist()
+
+
 def test_letters_spare_pairs_of_a_group_that_is_near_but_not_similar(spark, monkeypatch):
     """Lines with most of their grams in common, but letters of their own: few of their pairs are made, and each once."""
     draw = random.Random(5)
